@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import oddsketch
+from tickloom.llm import langid, linededup, oddsketch, packing
 from tickloom.llm.shared import materialize
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go."""
+    found = langid.identify(docs, langid.fit(docs), declared=F.col("lang"), host=F.col("source"))
+    return langid.keep_identified(docs, found)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each component of like lines stays; documents that had nothing else go, and n_chars follows the text."""
+    left = linededup.dedup_lines(docs, lost_col="__lost").where("not (__lost > 0 and trim(BOTH FROM text) = '')")
+    return left.select(*[F.when(F.col("__lost") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
     return oddsketch.keep_one(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of binary lengths, one row per piece, with its ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+
+
 STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("packing", pack),
 ]
 
 #: SQL can't express the classifier, the fuzzy components and the tokenizer; the tests hold the stages against brute force.

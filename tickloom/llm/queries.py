@@ -2,27 +2,79 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import exactdedup, oddsketch
+from tickloom.llm import bpesql, exactdedup, langid, licences, linededup, oddsketch, packing, tokenbin, tokencount
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: declared in lang, from the host source; the trigram model is fitted on about 4,000 of them."""
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.fit(docs), declared=F.col("lang"), host=F.col("source"))
+
+
+def op1_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages: declared in the markup, with the host and suffix of their address; the model is that of documents."""
+    by = langid.page_evidence()
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("__text", by["text"])
+    found = langid.identify(pages, langid.fit(documents(spark, sf_dir)), id_col="page_id", text_col="__text", declared=by["declared"], host=by["host"], suffix=by["suffix"])
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of each document."""
+    left = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select("doc_id", F.col("lines_dropped"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op3_bpe_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpesql.encoded(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(documents(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(documents(spark, sf_dir))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oddsketch.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
-    "op6_exact_dedup": op6_exact_dedup,
-    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op1_language_id_pages,
+        op2_line_dedup,
+        op3_bpe_sql,
+        op4_licence_scan,
+        op5_token_counts,
+        op6_exact_dedup,
+        op7_packing,
+        op9_minhash_near_dedup,
+        op10_token_files,
+    )
 }
 
 ORACLE_SQL = {
