@@ -1,23 +1,30 @@
-"""Texts cut at white space into chunks that a tokenizer may take one by one, each looked up once per worker."""
+"""Texts cut into chunks that a tokenizer may take one by one, each looked up once per worker."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task
 
 #: Unicode's White_Space, which all the libraries' \s agree on.
 WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: A word with the one space before it; a run of white space less that space; a lone separator. The byte-level pattern
-#: never joins two of these, and of a chunk alone makes what it makes of it in its text.
-CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Words alone, for tokenizers that drop white space.
-WORD = re.compile(rf"[^{WHITE}]+")
-#: Characters of text that are worked on at once, and of chunks that a cache holds.
-GROUP_CHARS, CACHE_CHARS = 1 << 20, 4_000_000
+#: Latin letters, of which every Unicode table says that they are letters; ASCII that is no letter, apostrophe or white space.
+LATIN = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)))
+MARKS = "!-&(-@\\[-`{-~"
+#: A chunk is never part of a pre-token: words with an apostrophe stay whole, as contractions are pre-tokens; a run of Latin letters
+#: or of ASCII marks stands alone only if what follows surely begins another; all else goes up to white space.
+_WORDS = rf"[^{WHITE}']*'[^{WHITE}]*|[{LATIN}]+(?=[{MARKS}{WHITE}]|\Z)|[{MARKS}]+(?=[{LATIN}{WHITE}]|\Z)|[^{WHITE}]+"
+WORD = re.compile(_WORDS)
+#: With the one space before it; a run of white space less that space; a lone separator.
+CHUNK = re.compile(rf" ?(?:{_WORDS})|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Characters of text that are worked on at once, and of chunks in either half of a cache.
+GROUP_CHARS, HALF_CHARS = 1 << 20, 3_000_000
 
 
 def groups(texts: Iterable[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
@@ -35,48 +42,79 @@ def groups(texts: Iterable[str], most: int = GROUP_CHARS) -> Iterator[list[str]]
 
 
 class ChunkCache:
-    """What a function makes of each chunk, kept between batches and tasks of a worker up to a number of characters."""
+    """What a function makes of each chunk, kept between batches and tasks of a worker: a young half, and an old one whose chunks move up when met.
+
+    A chunk is kept from its second meeting on; a table of bytes by hash remembers the first. So memory goes to what comes again.
+    """
 
-    def __init__(self, make: Callable[[list[str]], Iterable], most: int = CACHE_CHARS):
-        self.make, self.most, self.size = make, most, 0
-        self.kept: dict[str, object] = {}
+    def __init__(self, make: Callable[[list[str]], Iterable], half: int = HALF_CHARS):
+        self.make, self.half, self.size = make, half, 0
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.seen, self.passing = bytearray(1 << 22), []
 
     def lookup(self, lists: list[list[str]]) -> dict[str, object]:
-        """A dict that holds every chunk of the lists."""
+        """A dict that holds every chunk of the lists until the next call."""
+        young, seen = self.young, self.seen
+        for c in self.passing:
+            del young[c]
         wanted = set().union(*lists)
-        new = wanted - self.kept.keys()
-        grown = sum(map(len, new))
-        if self.size + grown > self.most:
-            self.kept, self.size, new = {}, 0, wanted
-            grown = sum(map(len, new))
-        todo = list(new)
+        new = wanted - young.keys()
+        if self.size > self.half:
+            self.old, self.young, self.size, new = young, {}, 0, wanted
+            young = self.young
+        met = new & self.old.keys()
+        young.update(zip(met, map(self.old.__getitem__, met), strict=True))
+        todo = list(new - met)
         for a in range(0, len(todo), 20_000):
             part = todo[a : a + 20_000]
-            self.kept.update(zip(part, self.make(part), strict=True))
-        self.size += grown
-        return self.kept
+            young.update(zip(part, self.make(part), strict=True))
+        passing = []
+        for c in todo:
+            at = hash(c) & 4194303
+            if not seen[at]:
+                seen[at] = 1
+                passing.append(c)
+        self.passing = passing
+        self.size += sum(map(len, new)) - sum(map(len, passing))
+        return young
 
 
-def encoder(path: str) -> Callable[[list[str]], Iterable[bytes]]:
-    """Of chunks their ids by the tokenizers library, packed as little-endian unsigned 32-bit integers."""
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
+def added_strings(path: str) -> list[str]:
+    """The special strings that the library takes out of a text before anything else, longest first."""
+    with open(path, encoding="utf-8") as f:
+        return sorted((x["content"] for x in json.load(f)["added_tokens"]), key=len, reverse=True)
 
-    def make(chunks: list[str]) -> Iterator[bytes]:
-        for a in range(0, len(chunks), 2_000):
-            for got in library.encode_batch_fast(chunks[a : a + 2_000], add_special_tokens=False):
-                yield array("I", got.ids).tobytes()
 
-    return make
+def encoder(path: str, between: str) -> Callable[[list[str]], Iterable[bytes]]:
+    """Of chunks their ids by the tokenizers library, packed as little-endian unsigned 32-bit integers.
 
+    Many chunks go in one call, with `between` between them: a string that is one token and a pre-token of its own. Chunks
+    that hold it, white space and what holds a special string go alone.
+    """
+    from tokenizers import Tokenizer
 
-def added_strings(path: str) -> list[str]:
-    """The special strings that the library takes out of a text before anything else, longest first."""
-    import json
+    library = Tokenizer.from_file(path)
+    strings = added_strings(path)
+    (mark,) = library.encode(f"a{between}a", add_special_tokens=False).ids[1:-1]
+
+    def alone(chunk: str) -> bytes:
+        return array("I", library.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def make(chunks: list[str]) -> Iterable[bytes]:
+        out: list[bytes | None] = [None] * len(chunks)
+        plain = [k for k, c in enumerate(chunks) if between.strip(" ") not in c and not c.isspace() and not ("<" in c and any(s in c for s in strings))]
+        for a in range(0, len(plain), 2_000):
+            own = plain[a : a + 2_000]
+            ids = np.array(library.encode_batch_fast([between.join([chunks[k] for k in own])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == mark)
+            if len(cuts) == len(own) - 1:
+                packed = ids.tobytes()
+                for k, begin, end in zip(own, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                    out[k] = packed[4 * begin : 4 * end]
+        return [alone(c) if x is None else x for c, x in zip(chunks, out, strict=True)]
 
-    with open(path, encoding="utf-8") as f:
-        return sorted((x["content"] for x in json.load(f)["added_tokens"]), key=len, reverse=True)
+    return make
 
 
 def splitter(strings: list[str]) -> Callable[[str], list[str]]:
@@ -94,12 +132,34 @@ def splitter(strings: list[str]) -> Callable[[str], list[str]]:
     return split
 
 
+def lowered(strings: list[str]) -> Callable[[str], list[str]]:
+    """Words of a text for a vocabulary that drops white space and folds case; Latin text is folded first, so that fewer words differ.
+
+    Special strings keep their case and end the word before them.
+    """
+    special = re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
+
+    def words(text: str) -> list[str]:
+        return WORD.findall(text.lower() if text.isascii() or max(text) < chr(0x250) else text)
+
+    def split(text: str) -> list[str]:
+        if special is None or not special.search(text):
+            return words(text)
+        out: list[str] = []
+        for k, part in enumerate(special.split(text)):
+            out += [part] if k % 2 else words(part)
+        return out
+
+    return split
+
+
 class Ids:
     """Whole texts to packed ids, as the tokenizers library gives them for the file at path."""
 
     def __init__(self, path: str, drop_white: bool = False):
-        self.split = WORD.findall if drop_white else splitter(added_strings(path))
-        self.cache = ChunkCache(encoder(path))
+        strings = added_strings(path)
+        self.split = lowered(strings) if drop_white else splitter(strings)
+        self.cache = ChunkCache(encoder(path, " | " if drop_white else "\n"))
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         for own in groups(texts):
