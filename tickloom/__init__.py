@@ -1,0 +1 @@
+"""Continuous analytics over keyed event streams, as Spark DataFrame plans."""
