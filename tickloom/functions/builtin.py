@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,8 +143,6 @@ class FunctionRegistry:
 
     def register_python(self, name: str, f: Callable[[list[float]], float]) -> None:
         """A plain Python function of a vector, run by Arrow batches; the slow path."""
-        import pandas as pd
-
         @F.pandas_udf("double")
         def run(vectors: pd.Series) -> pd.Series:
             return vectors.map(lambda x: float(f(list(x))) if x is not None else None)
