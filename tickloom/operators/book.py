@@ -16,7 +16,8 @@ GRID = 1e-8
 def ticks_of(price: Column, tick_size: Column | float) -> Column:
     """Whole ticks, halves away from zero, with a nudge for what division loses."""
     scaled = price / (tick_size if isinstance(tick_size, Column) else F.lit(float(tick_size)))
-    return F.round(scaled + F.signum(scaled) * 1e-12).cast("long")
+    finite = ~F.isnan(scaled) & (F.abs(scaled) < 9e18)
+    return F.round(F.when(finite, scaled + F.signum(scaled) * 1e-12)).cast("long")
 
 
 def valid_price(price: Column, tick_size: Column | float, negative: bool = False) -> Column:
@@ -112,16 +113,16 @@ def trade_fifo(orders: DataFrame, trades: DataFrame) -> DataFrame:
 def sequencing(events: DataFrame) -> DataFrame:
     """events with gap and stale: a number that doesn't follow the last one is a gap, from which on all is stale until a snapshot; a reset is stale too.
 
-    Events are (symbol, at, seq, kind); `at` is their arrival. A first event is never a gap.
+    Events are (symbol, arrived, seq, kind); arrived is their order of arrival. A first event is never a gap.
     """
-    order = Window.partitionBy("symbol").orderBy("at")
+    order = Window.partitionBy("symbol").orderBy("arrived")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     fresh = F.col("kind").isin("snapshot")
     epoch = F.sum(F.when(F.col("kind") == "reset", 1).otherwise(0)).over(upto)
     base = events.withColumn("epoch_no", epoch).withColumn("island", F.sum(F.when(fresh, 1).otherwise(0)).over(upto))
-    before = F.lag("seq").over(Window.partitionBy("symbol", "island").orderBy("at"))
+    before = F.lag("seq").over(Window.partitionBy("symbol", "island").orderBy("arrived"))
     gap = (F.col("kind") != "reset") & ~fresh & before.isNotNull() & (F.col("seq") != before + 1)
-    own = Window.partitionBy("symbol", "island").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("symbol", "island").orderBy("arrived").rowsBetween(Window.unboundedPreceding, 0)
     marked = base.withColumn("gap", gap)
     return marked.withColumn("stale", F.max(F.when(F.col("gap") | (F.col("kind") == "reset"), 1).otherwise(0)).over(own) == 1).drop("island")
 

@@ -469,16 +469,16 @@ def trade_fifo(spark, sf_dir):
     return book.trade_fifo(orders, trades).select("symbol", "order_id", F.col("consumed").cast("long").alias("consumed"))
 
 
-_STEPS = "e AS (SELECT event_type AS symbol, event_id AS at, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), g AS (SELECT symbol, at, k + CASE WHEN k >= 40 THEN 1 ELSE 0 END AS seq, CASE WHEN k % 100 = 0 THEN 'snapshot' WHEN k % 250 = 77 THEN 'reset' ELSE 'add' END AS kind FROM e)"
+_STEPS = "e AS (SELECT event_type AS symbol, event_id AS arrived, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), g AS (SELECT symbol, arrived, k + CASE WHEN k >= 40 THEN 1 ELSE 0 END AS seq, CASE WHEN k % 100 = 0 THEN 'snapshot' WHEN k % 250 = 77 THEN 'reset' ELSE 'add' END AS kind FROM e)"
 
 
-@query(f"WITH {_STEPS}, i AS (SELECT *, sum(CASE WHEN kind = 'snapshot' THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM g), p AS (SELECT *, lag(seq) OVER (PARTITION BY symbol, island ORDER BY at) AS prev FROM i), m AS (SELECT *, kind = 'add' AND prev IS NOT NULL AND seq <> prev + 1 AS gap FROM p) SELECT symbol, at, gap, max(CASE WHEN gap OR kind = 'reset' THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, island ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS stale FROM m")
+@query(f"WITH {_STEPS}, i AS (SELECT *, sum(CASE WHEN kind = 'snapshot' THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM g), p AS (SELECT *, lag(seq) OVER (PARTITION BY symbol, island ORDER BY arrived) AS prev FROM i), m AS (SELECT *, kind = 'add' AND prev IS NOT NULL AND seq <> prev + 1 AS gap FROM p) SELECT symbol, arrived, gap, max(CASE WHEN gap OR kind = 'reset' THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, island ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS stale FROM m")
 def feed_gaps(spark, sf_dir):
     from pyspark.sql import Window
 
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), F.col("event_id").alias("at")).withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("at")))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), F.col("event_id").alias("arrived")).withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("arrived")))
     kind = F.when(F.col("k") % 100 == 0, "snapshot").when(F.col("k") % 250 == 77, "reset").otherwise("add")
-    return book.sequencing(events.select("symbol", "at", (F.col("k") + F.when(F.col("k") >= 40, 1).otherwise(0)).alias("seq"), kind.alias("kind"))).select("symbol", "at", "gap", "stale")
+    return book.sequencing(events.select("symbol", "arrived", (F.col("k") + F.when(F.col("k") >= 40, 1).otherwise(0)).alias("seq"), kind.alias("kind"))).select("symbol", "arrived", "gap", "stale")
 
 
 @query("""WITH c AS (SELECT o_orderpriority AS symbol, o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, CAST(floor(o_totalprice / 1000) AS BIGINT) AS price, 1 + o_custkey % 100 AS delta FROM orders)

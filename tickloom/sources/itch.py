@@ -24,7 +24,7 @@ def parse(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 def named(messages: DataFrame) -> DataFrame:
     """messages with the stock that a locate code stands for; the directory is a row per stock."""
-    directory = messages.where("type = 'stock_directory' and stock is not null").groupBy("stock_locate").agg(F.max_by("stock", "seq").alias("listed"))
+    directory = messages.where("type = 'stock_directory' and stock is not null").groupBy("stock_locate").agg(F.trim(F.max_by("stock", "seq")).alias("listed"))
     return messages.join(directory, "stock_locate", "left").withColumn("stock", F.coalesce(F.trim("stock"), "listed")).drop("listed")
 
 
