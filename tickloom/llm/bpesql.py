@@ -1,9 +1,9 @@
 """Byte-level BPE as SQL: DuckDB runs a recursive query in each task, over the distinct pieces of its texts.
 
-A piece is a run of rows (piece, place, token). One step joins each adjacent pair to the merge table, takes per
-piece the leftmost pair of the lowest rank and contracts it; pieces without a pair take no further part. The
-recursion is keyed by (piece, place), so a step replaces rows and memory holds each piece once. Decoding is
-an ordered aggregate of the tokens' bytes. Nothing is shuffled.
+A piece is a run of rows (place, piece, token, after), each of which names the place after it. One step joins each
+adjacent pair to the merge table, takes per piece the leftmost pair of the lowest rank and contracts it; pieces
+without a pair take no further part. The recursion is keyed by place, so a step replaces rows and memory holds each
+piece once. Decoding is an ordered aggregate of the tokens' bytes. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,28 +18,30 @@ import regex
 from pyspark.sql import DataFrame
 
 from tickloom.llm.chunks import CHUNK, ChunkCache, groups
-from tickloom.llm.shared import bounded_batches, texts_of
+from tickloom.llm.shared import bounded_batches, hold, texts_of
 
 #: Bytes of the pieces that one recursive query takes, and tokens that one decoding query takes.
-QUERY_BYTES, DECODE_TOKENS = 250_000, 250_000
+QUERY_BYTES, DECODE_TOKENS = 100_000, 500_000
+#: Characters of text whose chunks are looked up at once, and of chunks in either half of the cache.
+GROUP_CHARS, HALF_CHARS = 1_000_000, 6_000_000
 GONE = -1
 
 ENCODE = f"""
-WITH RECURSIVE state(piece, place, token) USING KEY (piece, place) AS (
-    SELECT piece, place, token FROM given
+WITH RECURSIVE state(place, piece, token, after) USING KEY (place) AS (
+    SELECT place, piece, token, after FROM given
     UNION
     (WITH live AS MATERIALIZED (
-        SELECT piece, place, token, lead(token) OVER w AS next_token, lag(place) OVER w AS before
-        FROM (SELECT piece, place, token FROM recurring.state WHERE token <> {GONE} AND piece IN (SELECT piece FROM state))
-        WINDOW w AS (PARTITION BY piece ORDER BY place)),
+        SELECT place, piece, token, after FROM recurring.state WHERE token <> {GONE} AND piece IN (SELECT piece FROM state)),
      best AS (
-        SELECT live.piece, min(merges.made * 4294967296 + live.place) AS pick
-        FROM live JOIN merges ON live.token = merges.lhs AND live.next_token = merges.rhs GROUP BY live.piece)
-     SELECT live.piece, live.place, CASE WHEN live.place = best.pick % 4294967296 THEN best.pick // 4294967296 ELSE {GONE} END
-     FROM live JOIN best ON live.piece = best.piece
-     WHERE live.place = best.pick % 4294967296 OR live.before = best.pick % 4294967296)
+        SELECT a.piece, min(merges.made * 4294967296 + a.place) AS pick
+        FROM live AS a JOIN live AS b ON a.after = b.place JOIN merges ON merges.pair = a.token * 16777216 + b.token GROUP BY a.piece),
+     chosen AS (
+        SELECT a.place, a.piece, best.pick // 4294967296 AS made, a.after FROM best JOIN live AS a ON a.place = best.pick % 4294967296)
+     SELECT chosen.place, chosen.piece, chosen.made, b.after FROM chosen JOIN live AS b ON chosen.after = b.place
+     UNION ALL
+     SELECT after, piece, {GONE}, {GONE} FROM chosen)
 )
-SELECT piece, token FROM state WHERE token <> {GONE} ORDER BY piece, place
+SELECT piece, token FROM state WHERE token <> {GONE} ORDER BY place
 """
 
 DECODE = """
@@ -66,18 +68,20 @@ class SqlBpe:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
         self.db.execute("SET preserve_insertion_order = false")
         self.db.register("merge_rows", pa.table({"lhs": left, "rhs": right, "made": made}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
+        self.db.execute("CREATE TABLE merges AS SELECT lhs * 16777216 + rhs AS pair, made FROM merge_rows")
         self.db.register("names", pa.table({"token": pa.array(range(len(self.names)), pa.int64()), "bytes": pa.array([x.hex() for x in self.names])}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM names")
-        self.cache = ChunkCache(self.make)
+        self.cache = ChunkCache(self.make, HALF_CHARS, 100_000)
 
     def contract(self, pieces: list[bytes]) -> list[bytes]:
         """The fixpoint of each piece, as packed little-endian unsigned 32-bit ids."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(sizes)
         numbers = np.repeat(np.arange(len(pieces)), sizes)
-        places = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-        given = pa.table({"piece": numbers, "place": places, "token": self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]})
+        places = np.arange(ends[-1])
+        after = places + 1
+        after[ends - 1] = GONE
+        given = pa.table({"place": places, "piece": numbers, "token": self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)], "after": after})
         self.db.register("given", given)
         got = self.db.execute(ENCODE).fetchnumpy()
         self.db.unregister("given")
@@ -107,7 +111,7 @@ class SqlBpe:
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Packed ids of each text."""
-        for own in groups(texts):
+        for own in groups(texts, GROUP_CHARS):
             lists = [CHUNK.findall(x) for x in own]
             found = self.cache.lookup(lists)
             for chunks in lists:
@@ -134,9 +138,6 @@ class SqlBpe:
         return [bytes(x) for x in out]
 
 
-_loaded: dict[tuple, SqlBpe] = {}
-
-
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): each text encoded by the rank file and decoded again.
 
@@ -147,8 +148,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, pattern)
-        bpe = _loaded.get(key) or _loaded.setdefault(key, SqlBpe(path, pattern))
+        bpe = hold(("sql", path, pattern), lambda: SqlBpe(path, pattern))
         for batch in batches:
             packed = list(bpe.encode(batch.column(1).to_pylist()))
             columns = {

@@ -10,12 +10,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
+from tickloom.llm.shared import hold
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task
 
 #: Unicode's White_Space, which all the libraries' \s agree on.
 WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: Latin letters, of which every Unicode table says that they are letters; ASCII that is no letter, apostrophe or white space.
-LATIN = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)))
+#: Latin letters, of which every Unicode table says that they are letters, as are their small ones (so not U+0130); ASCII that is no letter, apostrophe or white space.
+LATIN = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x12F), (0x131, 0x24F)))
 MARKS = "!-&(-@\\[-`{-~"
 #: A chunk is never part of a pre-token: words with an apostrophe stay whole, as contractions are pre-tokens; a run of Latin letters
 #: or of ASCII marks stands alone only if what follows surely begins another; all else goes up to white space.
@@ -44,20 +46,16 @@ def groups(texts: Iterable[str], most: int = GROUP_CHARS) -> Iterator[list[str]]
 class ChunkCache:
     """What a function makes of each chunk, kept between batches and tasks of a worker: a young half, and an old one whose chunks move up when met.
 
-    A chunk is kept from its second meeting on; a table of bytes by hash remembers the first. So memory goes to what comes again.
     """
 
-    def __init__(self, make: Callable[[list[str]], Iterable], half: int = HALF_CHARS):
-        self.make, self.half, self.size = make, half, 0
+    def __init__(self, make: Callable[[list[str]], Iterable], half: int = HALF_CHARS, part: int = 20_000):
+        self.make, self.half, self.size, self.part = make, half, 0, part
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
-        self.seen, self.passing = bytearray(1 << 22), []
 
     def lookup(self, lists: list[list[str]]) -> dict[str, object]:
         """A dict that holds every chunk of the lists until the next call."""
-        young, seen = self.young, self.seen
-        for c in self.passing:
-            del young[c]
+        young = self.young
         wanted = set().union(*lists)
         new = wanted - young.keys()
         if self.size > self.half:
@@ -66,17 +64,10 @@ class ChunkCache:
         met = new & self.old.keys()
         young.update(zip(met, map(self.old.__getitem__, met), strict=True))
         todo = list(new - met)
-        for a in range(0, len(todo), 20_000):
-            part = todo[a : a + 20_000]
+        for a in range(0, len(todo), self.part):
+            part = todo[a : a + self.part]
             young.update(zip(part, self.make(part), strict=True))
-        passing = []
-        for c in todo:
-            at = hash(c) & 4194303
-            if not seen[at]:
-                seen[at] = 1
-                passing.append(c)
-        self.passing = passing
-        self.size += sum(map(len, new)) - sum(map(len, passing))
+        self.size += sum(map(len, new))
         return young
 
 
@@ -169,12 +160,6 @@ class Ids:
                 yield b"".join(map(found.__getitem__, chunks))
 
 
-_loaded: dict[tuple, Ids] = {}
-
-
 def ids_of(path: str, drop_white: bool = False) -> Ids:
     """One per worker and file; workers are used again, so its cache serves later tasks."""
-    key = (path, drop_white)
-    if key not in _loaded:
-        _loaded[key] = Ids(path, drop_white)
-    return _loaded[key]
+    return hold(("ids", path, drop_white), lambda: Ids(path, drop_white))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +15,29 @@ from pyspark.sql import functions as F
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+_held: dict[tuple, object] = {}
+
+
+def hold(key: tuple = (), make: Callable[[], object] | None = None):
+    """A worker's tables under a key, made once and kept for later tasks. Only one operator's are kept: another key lets them go."""
+    if key not in _held and _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # no such call here; the allocator keeps the memory for later
+    if make is not None and key not in _held:
+        _held[key] = make()
+    return _held.get(key)
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) alone, a null text as the empty one; other columns can't clash with ours."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches are cut by bytes as well as rows, so that long texts can't fill a Python worker."""
     spark.conf.set(BATCH_BYTES, size)
 
