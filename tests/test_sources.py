@@ -95,8 +95,8 @@ def test_directory():
 
 def test_config():
     seen = {}
-    own = config.load("# note\n; note\ntaSMA = 3, 7\ntaMACD_fast=30\ntaMACD_slow = 10\ntaBBands_stdK=-1\ntaRSI = x\ntaATR=0\nmarket.other = 5\ntaEMA=\nnoise\nmarket.source.bid = b, bb", {"market": lambda k, v: seen.update({k: v})})
-    assert own.sma == (3, 7) and (own.macd_fast, own.macd_slow) == (10, 30) and own.band_width == 2.0 and own.rsi == 14 and own.atr == 1 and own.ema == (12, 26) and own.bid_fields == ("b", "bb")
+    own = config.load("# note\n; note\ntaSMA = 3, 7\ntaMACD_fast=30\ntaMACD_slow = 10\ntaBBands_stdK=-1\ntaRSI = x\ntaATR=0\nmarket.other = 5\ntaEMA=\nnoise\nmarket.source.bidFields = b, bb\nsource.priceFields =\nallowNegativePrices = yes", {"market": lambda k, v: seen.update({k: v})})
+    assert own.sma == (3, 7) and (own.macd_fast, own.macd_slow) == (10, 30) and own.band_width == 2.0 and own.rsi == 14 and own.atr == 1 and own.ema == (12, 26) and own.bid_fields == ("b", "bb") and own.price_fields[0] == "lastPrice" and own.negative_prices
     assert seen == {"market.other": "5"} and own.parked == seen
 
 

@@ -37,6 +37,7 @@ class Config:
     ask_fields: tuple[str, ...] = ()
     timestamp_field: str = ""
     tick_size: float = 1e-4
+    negative_prices: bool = False
     parked: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
@@ -45,6 +46,8 @@ class Config:
             put(name, max(1, int(getattr(self, name))))
         for name, default in (("sma", (5, 20)), ("ema", (12, 26))):
             put(name, tuple(max(1, int(x)) for x in getattr(self, name)) or default)
+        for name, default in (("price_fields", ("lastPrice", "price", "last", "px")), ("volume_fields", ("volume", "vol", "qty", "size"))):
+            put(name, tuple(getattr(self, name)) or default)
         if self.macd_fast > self.macd_slow:
             fast = self.macd_fast
             put("macd_fast", self.macd_slow)
@@ -53,14 +56,15 @@ class Config:
             put("band_width", 2.0)
 
 
-#: File keys and the settings they name.
+#: File keys and the settings they name (fixed values of the file format).
 KEYS = {
     "taHistoryMax": "history", "taSMA": "sma", "taEMA": "ema", "taMACD_fast": "macd_fast", "taMACD_slow": "macd_slow", "taMACD_signal": "macd_signal",
     "taBBands_n": "bollinger", "taBBands_stdK": "band_width", "taRSI": "rsi", "taATR": "atr", "taMomentum": "momentum", "taVolAvg": "volume_avg",
-    "taEnabled": "ta_enabled", "maxSymbols": "symbols",
-    "market.source.price": "price_fields", "market.source.volume": "volume_fields", "market.source.bid": "bid_fields", "market.source.ask": "ask_fields", "market.source.timestamp": "timestamp_field",
-    "source.price": "price_fields", "source.volume": "volume_fields", "source.bid": "bid_fields", "source.ask": "ask_fields", "source.timestamp": "timestamp_field",
+    "maxSymbols": "symbols", "allowNegativePrices": "negative_prices",
 }
+#: Keys of a tick source, under market.source. or the older source.
+SOURCE_KEYS = {"priceFields": "price_fields", "volumeFields": "volume_fields", "bidFields": "bid_fields", "askFields": "ask_fields", "timestampField": "timestamp_field", "taEnabled": "ta_enabled"}
+KEYS |= {f"{prefix}.{k}": name for prefix in ("market.source", "source") for k, name in SOURCE_KEYS.items()}
 
 
 def parse_lines(text: str) -> dict[str, str]:
