@@ -144,3 +144,15 @@ def test_snapshot_arrays(ladder):
     assert [x["price"] for x in row["bids"]] == [100, 99, 98] and [x["size"] for x in row["asks"]] == [15, 25, 35]
     top = book.top(ladder).first()
     assert (top["bid"], top["bid_size"], top["ask"], top["ask_size"]) == (100, 10, 101, 15)
+
+
+def test_strict_ranges(ladder):
+    keys = ("ob.range.bid.levels.1-3.min.size", "ob.range.bid.levels.1-3.count", "ob.range.ask.price.101-102.max.size", "ob.range.ask.price.101-102.count", "ob.range.ask.price.101-102.avg.size")
+    assert tuple(obkeys.evaluate(ladder, keys, strict=True).first())[1:] == (60.0, 0.0, 0.0, 0.0, 20.0)
+
+
+def test_venue_keys(spark):
+    names = spark.createDataFrame([("A", "v", T0, 1, 7), ("A", "v", T0, 5, 8), ("B", "v", T0, 1, 9)], "symbol string, venue_key string, ts timestamp_ntz, seq long, order_id long")
+    events_ = spark.createDataFrame([("A", "v", T0, 2, None), ("A", "v", T0, 6, None), ("A", "w", T0, 6, None), ("A", "v", T0, 7, 3)], "symbol string, venue_key string, ts timestamp_ntz, seq long, order_id long")
+    got = sorted((r["seq"], r["venue_key"], r["order_id"]) for r in book.resolve_venue_keys(events_, names).collect())
+    assert got == [(2, "v", 7), (6, "v", 8), (6, "w", None), (7, "v", 3)]

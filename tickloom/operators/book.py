@@ -134,6 +134,17 @@ def deltas(changes: DataFrame) -> DataFrame:
     return out.withColumn("number", F.row_number().over(Window.partitionBy("symbol").orderBy("seq", "side", "price_ticks")))
 
 
+def resolve_venue_keys(events: DataFrame, names: DataFrame) -> DataFrame:
+    """events with the order_id that their venue_key stood for at their time; names are (symbol, venue_key, ts, seq, order_id), the latest counts.
+
+    An event that has an order_id keeps it; one whose key was never named has none.
+    """
+    from tickloom.operators.asof import asof
+
+    found = asof(events, names.select("symbol", "venue_key", "ts", "seq", F.col("order_id").alias("value")), ("symbol", "venue_key"), keep_unmatched=True)
+    return found.withColumn("order_id", F.coalesce("order_id", "found")).drop("found")
+
+
 def faults(orders: DataFrame, book_levels: DataFrame) -> DataFrame:
     """Levels whose total isn't the sum of their orders, or isn't positive; empty if the book is sound."""
     own = orders.groupBy("symbol", "side", "price_ticks").agg(F.sum("size").alias("own"))

@@ -132,8 +132,11 @@ def _attribute(key: Key) -> Column:
     return F.col(key.attribute)
 
 
-def expression(key: Key, tick_size: float = 1e-4) -> Column:
-    """The aggregate over a symbol's ladder rows (side, lvl, price_ticks, price, size, orders, notional) that a key stands for; null where it isn't a number."""
+def expression(key: Key, tick_size: float = 1e-4, strict: bool = False) -> Column:
+    """The aggregate over a symbol's ladder rows (side, lvl, price_ticks, price, size, orders, notional) that a key stands for; null where it isn't a number.
+
+    strict keeps a known quirk of range reductions: over levels min and max are sums, over prices they are 0, and counts are 0.
+    """
     of = lambda side: F.col("side") == side
     zero = F.lit(0.0)
     if key.metric == "best":
@@ -148,8 +151,13 @@ def expression(key: Key, tick_size: float = 1e-4) -> Column:
         return F.coalesce(F.sum(F.when(of(key.side) & _inside(key, tick_size), _attribute(key))), zero)
     if key.metric == "range":
         chosen = of(key.side) & _inside(key, tick_size)
+        if strict and (key.reducer == "count" or (key.by == "price" and key.reducer in ("min", "max"))):
+            some = F.max(F.when(chosen, zero))
+            return some if key.by == "levels" else F.coalesce(some, zero)
         if key.reducer == "count":
             found = F.sum(F.when(chosen, 1.0))
+        elif strict and key.reducer in ("min", "max"):
+            found = F.sum(F.when(chosen, _attribute(key)))
         else:
             found = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[key.reducer](F.when(chosen, _attribute(key)))
         return found if key.by == "levels" else F.coalesce(found, zero)
@@ -165,7 +173,7 @@ def expression(key: Key, tick_size: float = 1e-4) -> Column:
     return counts[key.attribute] if key.attribute in counts else F.max(F.col(f"meta_{key.attribute}").cast("double"))
 
 
-def evaluate(ladder_rows: DataFrame, keys: tuple[str, ...], tick_size: float = 1e-4, meta: DataFrame | None = None) -> DataFrame:
+def evaluate(ladder_rows: DataFrame, keys: tuple[str, ...], tick_size: float = 1e-4, meta: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """(symbol, a column per key) in one grouped aggregate. meta: (symbol, seq, epoch, is_stale, last_change_ms), a row per symbol.
 
     A column's name is its key with _ for each dot and dash.
@@ -178,4 +186,4 @@ def evaluate(ladder_rows: DataFrame, keys: tuple[str, ...], tick_size: float = 1
             rows = rows.withColumns({f"meta_{n}": F.lit(None).cast("double") for n in names})
         else:
             rows = rows.join(meta.select("symbol", *(F.col(n).cast("double").alias(f"meta_{n}") for n in names)), "symbol", "right")
-    return rows.groupBy("symbol").agg(*(expression(p, tick_size).alias(re.sub(r"[.-]", "_", k)) for k, p in parsed.items()))
+    return rows.groupBy("symbol").agg(*(expression(p, tick_size, strict).alias(re.sub(r"[.-]", "_", k)) for k, p in parsed.items()))
