@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -46,7 +46,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers for n positions; one table serves all usual blocks."""
-    return powers(max(2 * BLOCK, 1 << int(max(n, 1) - 1).bit_length()))
+    return powers(max(BLOCK, 1 << int(max(n, 1) - 1).bit_length()))
 
 
 def hash_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.hashing import constants
-from tickloom.llm.shared import bounded_batches, discard, materialize, utf8
+from tickloom.llm.shared import bounded_batches, hold, materialize, utf8
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -171,6 +171,7 @@ def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), id_
     evidence = settings.evidence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for batch in batches:
             total, count = log_likelihoods(*utf8(batch.column(1)), model)
             scaled = total * (np.minimum(count, evidence) / np.maximum(count, 1))[:, None]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import hashing
 from tickloom.llm.linking import buckets, link
-from tickloom.llm.shared import bounded_batches, materialize, texts_of, utf8
+from tickloom.llm.shared import bounded_batches, hold, materialize, texts_of, utf8
 
 
 @dataclass(frozen=True)
@@ -78,6 +78,7 @@ def ones_apart(sketches: np.ndarray) -> np.ndarray:
 
 def _signer(near: Near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for batch in batches:
             sets = hashing.shingle_sets(*utf8(batch.column(1)), near.words)
             minima = hashing.minhashes(sets, near.samples)

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tickloom.llm.chunks import ChunkCache, added_strings, groups, splitter
-from tickloom.llm.shared import bounded_batches, texts_of
+from tickloom.llm.shared import bounded_batches, hold, texts_of
 
 #: The byte-level split of a text before the merges (a fixed value of the vocabulary).
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -113,9 +113,6 @@ class Counter:
                 yield sum(map(found.__getitem__, chunks))
 
 
-_loaded: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): one row per row of docs, for the byte-level tokenizers file at path.
 
@@ -125,7 +122,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _loaded.get(path) or _loaded.setdefault(path, Counter(path))
+        counter = hold(("counts", path), lambda: Counter(path))
         for batch in batches:
             texts = batch.column(1)
             tokens = np.fromiter(counter.count(texts.to_pylist()), np.int64, len(texts))
