@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickloom.llm.shared import bounded_batches, texts_of
+from tickloom.llm.shared import bounded_batches, hold, texts_of
 
 #: Words of a text whose A-Z are lower-cased: digits, small letters and whatever isn't ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -153,7 +153,7 @@ class Scanner:
         """(start, end, template, part of the template that is covered) of chained matches; a match that no open chain takes opens one."""
         chains: dict[int, list[tuple[int, int, int, int]]] = {}  # template: start, end in the text, end in the template, covered
         out = []
-        for end, template, at, length in self.matches(symbols):
+        for end, template, at, length in sorted(self.matches(symbols), key=lambda m: (m[0] - m[3], m[0])):  # by where they begin
             waiting, left = [], None
             for chain in chains.get(template, ()):
                 start, upto, reached, covered = chain
@@ -212,7 +212,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, scan: S
     span = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("label", pa.string()), ("part", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, phrases, scan)
+        scanner = hold(("licences", templates, phrases, scan), lambda: Scanner(templates, phrases, scan))
         for batch in batches:
             found = [scanner.scan_text(text) for text in batch.column(1).cast(pa.binary()).to_pylist()]
             columns = [batch.column(0), *(pa.array([x[i] for x in found], kinds[i + 1]) for i in range(7))]
