@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpesql, exactdedup, langid, licences, linededup, media, oddsketch, packing, tokenbin, tokencount
-from tickloom.llm.shared import materialize
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +59,7 @@ def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     The tables have no image column, so images are drawn from the vectors. A row per query and class of equal images that it copies.
     """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    images = materialize(media.render(vectors), "media-images")
-    found, members = media.find_copies(media.render(vectors.where("vec_id % 20 = 0"), edited=True), images)
+    found, members = media.find_copies(media.render(vectors.where("vec_id % 20 = 0"), edited=True), media.render(vectors))
     sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     named = found.join(sizes, F.col("id") == F.col("class_id")).join(members.select(F.col("id").alias("query"), F.col("class_id").alias("own_class")), "query")
     return named.select("query", "class_id", "class_size", "agreeing", (F.col("class_id") == F.col("own_class")).alias("own"))
