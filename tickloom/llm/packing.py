@@ -64,6 +64,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = END_ID, id_
     pieces = materialize(texts_of(docs, id_col, text_col).mapInArrow(run, schema), "pieces")
     counts = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))  # a row for each task and length at most
     before = Window.orderBy(F.desc("length"), "task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Written, so that its size is known: it is broadcast while it is small, and the pieces stay where they are.
+    bases = materialize(counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "pieces-bases")
     out = pieces.join(bases, ["length", "task"])
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
