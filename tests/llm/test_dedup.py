@@ -131,6 +131,17 @@ def test_near_odd(odd, empty):
     assert oddsketch.near_duplicates(empty).collect() == [] and oddsketch.keep_one(empty).count() == 0
 
 
+def test_like_pairs():
+    pick = np.random.default_rng(1)
+    sets = [np.unique(pick.integers(0, 60, pick.integers(0, 50)).astype(np.uint64)) for _ in range(40)] + [np.zeros(0, np.uint64)] * 2
+    for cells in (1, 100, 1 << 22):
+        got = hashing.like_pairs(sets, 50, cells)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                x, y = set(a.tolist()), set(b.tolist())
+                assert got[i, j] == bool(x and y and 100 * len(x & y) >= 50 * len(x | y))
+
+
 def test_sketches_tell_similarity():
     pick = np.random.default_rng(4)
     near = oddsketch.Near()

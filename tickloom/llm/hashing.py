@@ -152,3 +152,28 @@ def shared_count(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int(np.count_nonzero(b[at] == a))
+
+
+def like_pairs(sets: list[np.ndarray], percent: int, cells: int = 1 << 22) -> np.ndarray:
+    """Matrix of which pairs of sorted sets have a Jaccard similarity of at least percent, exactly; an empty set is like none.
+
+    Values that two sets share are the columns of a 0-1 matrix, whose product with itself counts intersections; it is made
+    in runs of columns, so memory follows cells and not the number of values.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.float64)
+    both = np.zeros((n, n), np.float32)
+    values = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width, total = max(1, cells // max(n, 1)), int(column[-1]) + 1 if len(column) else 0
+    for a in range(0, total, width):
+        first, last = np.searchsorted(column, [a, a + width])
+        part = np.zeros((n, min(width, total - a)), np.float32)
+        part[owner[first:last], column[first:last] - a] = 1
+        both += part @ part.T
+    full = sizes > 0
+    return (100 * both >= percent * (sizes[:, None] + sizes[None] - both)) & full[:, None] & full[None]

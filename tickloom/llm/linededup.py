@@ -18,17 +18,17 @@ from pyspark.sql import functions as F
 from tickloom.llm import hashing
 from tickloom.llm.chunks import groups
 from tickloom.llm.linking import buckets, link
-from tickloom.llm.shared import bounded_batches, discard, materialize
+from tickloom.llm.shared import bounded_batches, discard, hold, materialize
 
 
 @dataclass(frozen=True)
 class Lines:
-    """size: characters of a shingle. percent: least Jaccard similarity of two lines. bands, rows: at 85 % a pair meets in no band with a chance of 5e-4."""
+    """size: characters of a shingle, so many that unlike lines share few. percent: least Jaccard similarity of two lines. bands, rows: at 85 % a pair meets in no band with a chance of 1e-3, at 90 % of 7e-5."""
 
-    size: int = 6
+    size: int = 8
     percent: int = 85
-    bands: int = 8
-    rows: int = 3
+    bands: int = 9
+    rows: int = 4
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         small, large = sorted((len(a), len(b)))
@@ -38,91 +38,122 @@ class Lines:
         return 100 * both >= self.percent * (len(a) + len(b) - both)
 
 
+def _code_table(seed: int) -> np.ndarray:
+    return hashing.mix(np.arange(1, 65_537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hashing.constants(seed, 1))
+
+
+_CODES, _CHECKS = _code_table(53), _code_table(54)
+_BLANK = np.zeros(65_536, bool)
+_BLANK[[9, 11, 12, 13, 32]] = True
+
+
 def characters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def _looked_up(table: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """table's value of each character; beyond the table's end one that is mixed from both halves of the number."""
+    if not len(points) or int(points.max()) < len(table):
+        return table[points]
+    out = table[points & 0xFFFF]
+    high = points > 0xFFFF
+    if out.dtype == bool:
+        out[high] = False
+    else:
+        out[high] = hashing.mix(out[high] + points[high].astype(np.uint64))
+    return out
+
+
 def line_bounds(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each line; the newlines belong to none."""
     breaks = np.flatnonzero(points == 10)
     return np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(points)]])
 
 
-def char_grams(points: np.ndarray, size: int) -> np.ndarray:
+def prefix_sums(points: np.ndarray) -> np.ndarray:
+    """Sums of the characters' codes times powers of the base, from 0 on: any run's hash is a difference."""
+    out = np.zeros(len(points) + 1, np.uint64)
+    up, _ = hashing.table(len(points) + 1)
+    np.cumsum(_looked_up(_CODES, points) * up[: len(points)], out=out[1:])
+    return out
+
+
+def char_grams(sums: np.ndarray, size: int) -> np.ndarray:
     """The hash of the shingle that begins at each character."""
-    weights = hashing.constants(51, size)
-    n = max(0, len(points) - size + 1)
-    out = np.zeros(n, np.uint64)
-    wide = points.astype(np.uint64)
-    for j in range(size):
-        out += wide[j : j + n] * weights[j]
-    return hashing.mix(out)
+    n = max(0, len(sums) - size)
+    _, down = hashing.table(len(sums))
+    return hashing.mix((sums[size : size + n] - sums[:n]) * down[:n])
 
 
-def line_sets(lines: Lines):
-    """Of texts that are one line each the sorted sets of their shingles' hashes; a line shorter than a shingle is one."""
+def line_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each line, of its characters and their order."""
+    _, down = hashing.table(len(sums))
+    return hashing.mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)).view(np.int64)
 
-    def sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-        raw = data.tobytes()
-        out = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            points = characters(raw[a:b].decode("utf-8", "replace"))
-            grams = char_grams(points, lines.size)
-            out.append(np.unique(grams) if len(grams) else short_line(points))
-        return out
 
-    return sets
+def line_checks(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Another 64-bit hash of each line, of its characters alone."""
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(_looked_up(_CHECKS, points), out=sums[1:])
+    return hashing.mix(sums[end] - sums[begin]).view(np.int64)
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a line's shingles; a line shorter than one is one."""
+    points = characters(text)
+    sums = prefix_sums(points)
+    if len(points) >= size:
+        return np.unique(char_grams(sums, size))
+    return line_hashes(sums, np.array([0]), np.array([len(points)])).view(np.uint64)
 
 
-def short_line(points: np.ndarray) -> np.ndarray:
-    weights = hashing.constants(52, len(points) + 1)
-    return hashing.mix((points.astype(np.uint64) * weights[:-1]).sum(dtype=np.uint64, keepdims=True) + weights[-1:])
+def line_sets(lines: Lines):
+    """Of texts that are one line each the sorted sets of their shingles' hashes."""
 
+    def sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        raw = data.tobytes()
+        return [shingle_set(raw[a:b].decode("utf-8", "replace"), lines.size) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
-def line_hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit hash of each line, which must not be empty."""
-    up, down = hashing.table(len(points))
-    terms = hashing.mix(points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hashing.constants(seed, 1)) * up[: len(points)]
-    total = np.cumsum(terms)
-    sums = (total[end - 1] - total[begin] + terms[begin]) * down[begin]
-    return hashing.mix(sums + (end - begin).astype(np.uint64)).view(np.int64)
+    return sets
 
 
 def _signer(lines: Lines):
-    blank_points = np.array([ord(c) for c in "\t\v\f\r "], np.uint32)
-
     def one(own: list[str]) -> dict:
         points = characters("\n".join(own))
         begin, end = line_bounds(points)
         per_doc = np.array([x.count("\n") + 1 for x in own])
         doc = np.repeat(np.arange(len(own)), per_doc)
         number = np.arange(len(begin)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-        visible = np.cumsum(np.concatenate([[0], ~np.isin(points, blank_points)]))
+        visible = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(~_looked_up(_BLANK, points), out=visible[1:])
         full = visible[end] > visible[begin]
         begin, end, doc, number = begin[full], end[full], doc[full], number[full]
         if not len(begin):
             return {}
-        hashes, check = line_hashes(points, begin, end, 53), line_hashes(points, begin, end, 54)
+        sums = prefix_sums(points)
+        hashes, check = line_hashes(sums, begin, end), line_checks(points, begin, end)
         _, first = np.unique(hashes, return_index=True)
         long = first[end[first] - begin[first] >= lines.size]
-        minima = np.zeros((len(begin), lines.bands * lines.rows), np.uint64)
-        grams = char_grams(points, lines.size)
+        minima = np.zeros((len(begin), lines.bands * lines.rows), np.uint32)
+        grams = (char_grams(sums, lines.size) >> np.uint64(32)).astype(np.uint32)
         if len(long):
             long.sort()
             cuts = np.empty(2 * len(long), np.int64)
             cuts[::2], cuts[1::2] = begin[long], end[long] - lines.size + 1
             cuts = cuts[:-1] if cuts[-1] >= len(grams) else cuts
-            times, plus, scratch = hashing.constants(55, minima.shape[1]), hashing.constants(56, minima.shape[1]), np.empty_like(grams)
+            times, plus = (hashing.constants(seed, minima.shape[1]).astype(np.uint32) for seed in (55, 56))
+            scratch = np.empty_like(grams)
             for j in range(minima.shape[1]):
                 np.multiply(grams, times[j], out=scratch)
                 np.add(scratch, plus[j], out=scratch)
                 minima[long, j] = np.minimum.reduceat(scratch, cuts)[::2]
-        keys = hashing.band_keys(minima, lines.bands, lines.rows)
+        keys = hashing.band_keys(minima.astype(np.uint64), lines.bands, lines.rows)
         signed = np.zeros(len(begin), bool)
         signed[long] = True  # a short line is one shingle, so only an equal one is like it
         return {"doc": doc, "number": number, "hash": hashes, "check": check, "keys": keys, "signed": signed}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for batch in batches:
             ids, at = batch.column(0).to_numpy(zero_copy_only=False), 0
             for own in groups(batch.column(1).to_pylist(), 1 << 18):
@@ -175,23 +206,25 @@ def dropped_lines(docs: DataFrame, lines: Lines = Lines(), id_col: str = "doc_id
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     signed = materialize(plain.mapInArrow(_signer(lines), "doc_id long, line int, hash long, check long, keys array<long>"), "lines-signed")
     members = buckets(signed.select(F.explode("keys").alias("key"), F.col("hash").alias("id")), "lines-members").distinct()
+    places = materialize(signed.select("doc_id", "line", "hash", "check"), "lines-places")
+    discard(signed)
+    once = places.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.count(F.lit(1)).alias("n"))
+    once = materialize(once, "lines-once")
 
     def texts(ids: DataFrame) -> DataFrame:
         """One place of each line, then its text from that document."""
-        places = signed.select("hash", "doc_id", "line").join(ids.withColumnRenamed("id", "hash"), "hash", "left_semi")
-        one = places.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("at")).select(F.col("at.doc_id"), F.struct("at.line", "hash").alias("own"))
+        one = once.join(ids.withColumnRenamed("id", "hash"), "hash", "left_semi").select(F.col("first.doc_id"), F.struct("first.line", "hash").alias("own"))
         wanted = one.groupBy("doc_id").agg(F.collect_list("own").alias("lines"))  # a document's own lines at most
         return plain.join(wanted, "doc_id").select("text", "lines").mapInArrow(_picker, "id long, text string")
 
-    known = link(members, texts, line_sets(lines), lines.linked, "lines")
-    each = signed.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.count(F.lit(1)).alias("n"))
-    each = each.join(known.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
-    each = materialize(each.where("n > 1 or component is not null"), "lines-each")
+    known = link(members, texts, line_sets(lines), lines.linked, lines.percent, "lines")
+    each = once.join(known.withColumnRenamed("id", "hash"), "hash", "left").where("n > 1 or component is not null")  # the others are alone
+    each = materialize(each.withColumn("component", F.coalesce("component", "hash")), "lines-each")
     stays = each.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1")
     fate = each.where("c0 = c1").join(stays, "component").select("hash", "stays")  # two lines that share a hash by chance both stay
-    gone = signed.select("hash", "doc_id", "line").join(fate, "hash").where("stays.doc_id <> doc_id or stays.line <> line")
+    gone = places.select("hash", "doc_id", "line").join(fate, "hash").where("stays.doc_id <> doc_id or stays.line <> line")
     out = materialize(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "lines-gone")
-    for x in (signed, each):
+    for x in (places, once, each):
         discard(x)
     return out
 

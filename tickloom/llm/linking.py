@@ -12,12 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import discard, materialize, utf8
+from tickloom.llm.hashing import like_pairs
+from tickloom.llm.shared import discard, hold, materialize, utf8
 from tickloom.llm.unionfind import labels, stars
 
 #: Members of a block; a group holds two blocks.
@@ -30,13 +30,15 @@ Linked = Callable[[np.ndarray, np.ndarray], bool]
 def buckets(keys: DataFrame, label: str) -> DataFrame:
     """(key, id, centre) of the rows (key, id) whose key has several ids; centre is the least of them."""
     several = keys.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre")
-    return materialize(keys.join(several, "key").select("key", "id", "centre"), label)
+    # Each key is one row of the smaller side, so a hash table of it is as small as its partition; the larger side needn't be sorted.
+    return materialize(keys.join(several.hint("shuffle_hash"), "key").select("key", "id", "centre"), label)
 
 
 def verifier(sets: Sets, linked: Linked):
     """For mapInArrow over (a, b, text_a, text_b): the rows (a, b) whose texts are linked; the sets of a batch are made at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for batch in batches:
             a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             ids = np.concatenate([a, b])
@@ -61,7 +63,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, sets: Sets, linked: Linked) -> D
 def unresolved(members: DataFrame, known: DataFrame, label: str) -> DataFrame:
     """(key, lo, hi, id, component) of buckets that hold several components, dealt into pairs of blocks lo <= hi; centres have been checked."""
     at = members.join(known, "id", "left").select("key", "id", "centre", F.coalesce("component", "id").alias("component"))
-    left = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1 and n > 2")
+    left = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("all"), F.min("id").alias("least"), F.max("id").alias("last")).where("c0 < c1 and n > 2")
+    # Buckets of the same members, as the bands of a group of copies are, are one.
+    left = left.groupBy("c0", "c1", "n", "all", "least", "last").agg(F.min("key").alias("key"))
     rows = at.where("id <> centre").join(left.select("key", "n"), "key")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("long")
     dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
@@ -69,46 +73,87 @@ def unresolved(members: DataFrame, known: DataFrame, label: str) -> DataFrame:
     return materialize(out.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "component"), label)
 
 
-def pruner(sketches_close: Callable[[np.ndarray], np.ndarray]):
-    """For applyInPandas over a pair of blocks: the rows that have some partner of another component at a close enough sketch."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        close = sketches_close(np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1))
-        parts = group["component"].to_numpy()
-        close &= parts[:, None] != parts[None, :]
-        return group.loc[close.any(axis=1), ["key", "lo", "hi", "id", "component"]]
-
-    return run
-
+def by_block(df: DataFrame, work: Callable[[pa.Table, list[tuple[int, int]]], pa.Table], schema: str) -> DataFrame:
+    """work(rows of whole pairs of blocks, where each begins and ends) over df's rows, dealt and sorted by (key, lo, hi).
 
-def block_linker(sets: Sets, linked: Linked):
-    """For applyInPandas over a pair of blocks: links that join two of its components, each of which is a set of one or more members."""
+    A task streams its groups; it holds a batch and the group that the batch's end cuts, which is two blocks at most.
+    """
+    keys = ["key", "lo", "hi"]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
-        ids, parts = group["id"].to_numpy(), group["component"].to_numpy()
-        own = sets(*utf8(pa.array(group["text"], pa.large_string())))
-        root = {c: c for c in parts.tolist()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
+        left = None
+        for batch in _with_end(batches):
+            parts = [t for t in (left, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
+            if not parts:
+                continue
+            table = pa.concat_tables(parts).combine_chunks()
+            columns = [table.column(k).to_numpy() for k in keys]
+            change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+            cuts = [0, *change.tolist(), *([len(table)] if batch is None else [])]
+            left = table.slice(cuts[-1])
+            if len(cuts) > 1:
+                yield from work(table.slice(0, cuts[-1]), list(zip(cuts[:-1], cuts[1:], strict=True))).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    """The batches with rows, and then None."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch
+    yield None
 
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
 
-        out = []
-        for i in range(len(ids)):
-            for j in range(i):
-                p, q = find(int(parts[i])), find(int(parts[j]))
-                if p != q and linked(own[i], own[j]):
+def pruner(sketches_close: Callable[[np.ndarray], np.ndarray]):
+    """For by_block(): the rows that have some partner of another component at a close enough sketch."""
+
+    def work(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        size = len(table.column("sketch")[0].as_py())
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, size)
+        parts = table.column("component").to_numpy()
+        keep = np.zeros(len(table), bool)
+        for a, b in groups:
+            close = sketches_close(sketches[a:b])
+            close &= parts[a:b, None] != parts[None, a:b]
+            keep[a:b] = close.any(axis=1)
+        return table.select(["key", "lo", "hi", "id", "component"]).filter(pa.array(keep))
+
+    return work
+
+
+def block_linker(sets: Sets, percent: int):
+    """For by_block(): links that join two components of a group, each of which is a set of one or more members."""
+
+    def work(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        ids, parts = table.column("id").to_pylist(), table.column("component").to_pylist()
+        text = table.column("text").combine_chunks()
+        own = sets(*utf8(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text))
+        out: list[tuple[int, int]] = []
+        for a, b in groups:
+            root = {c: c for c in parts[a:b]}
+
+            def find(x: int, root=root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            like = np.triu(like_pairs(own[a:b], percent), 1)
+            numbers = np.array(parts[a:b])
+            like &= numbers[:, None] != numbers[None]
+            for i, j in zip(*(x.tolist() for x in np.nonzero(like)), strict=True):
+                p, q = find(parts[a + i]), find(parts[a + j])
+                if p != q:
                     root[max(p, q)] = min(p, q)
-                    out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                    out.append((ids[a + i], ids[a + j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    return run
+    return work
 
 
-def link(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, linked: Linked, label: str, sketches: DataFrame | None = None, close_pairs=None, close_block=None) -> DataFrame:
+def link(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, linked: Linked, percent: int, label: str, sketches: DataFrame | None = None, close_pairs=None, close_block=None) -> DataFrame:
     """(id, component) of the linked ids.
 
     members: what buckets() returned. texts_of: from (id) to (id, text). sketches: (id, sketch), with close_pairs, a
@@ -123,13 +168,14 @@ def link(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: S
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = materialize(texts_of(wanted), f"{label}-texts")
     first = stars(confirm(pairs, texts, sets, linked), f"{label}-first")
-    discard(texts)
     rest = unresolved(members, labels(first), f"{label}-left")
     if sketches is not None:
-        rest = materialize(rest.join(sketches, "id").groupBy("key", "lo", "hi").applyInPandas(pruner(close_block), "key long, lo long, hi long, id long, component long"), f"{label}-close")
+        rest = materialize(by_block(rest.join(sketches, "id"), pruner(close_block), "key long, lo long, hi long, id long, component long"), f"{label}-close")
     if rest.isEmpty():
         return labels(first)
-    texts = materialize(texts_of(rest.select("id").distinct()), f"{label}-rest")
-    more = rest.join(texts, "id").groupBy("key", "lo", "hi").applyInPandas(block_linker(sets, linked), "a long, b long")
+    if sketches is not None:  # else each member is in a pair, so its text is there
+        discard(texts)
+        texts = materialize(texts_of(rest.select("id").distinct()), f"{label}-rest")
+    more = by_block(rest.join(texts, "id"), block_linker(sets, percent), "a long, b long")
     both = first.select(F.col("u").alias("a"), F.col("v").alias("b")).union(more)
     return labels(stars(both, f"{label}-second"))

@@ -132,6 +132,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
         lambda ids: plain.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"),
         lambda data, bounds: hashing.shingle_sets(data, bounds, near.words),
         near.linked,
+        near.percent,
         "near",
         stand.select("id", "sketch"),
         lambda pairs: pairs.where(_ones("sketch_a", "sketch_b", near.bits) <= most),

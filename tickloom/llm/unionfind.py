@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tickloom.llm.shared import discard, materialize
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none."""
+    several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return several.select("u").union(edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_semi")).isEmpty()
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -35,15 +37,10 @@ def stars(links: DataFrame, label: str = "stars") -> DataFrame:
     a, b = links.columns
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null and `{a}` != `{b}`").distinct()
     edges = materialize(edges, label)
-    mark = _mark(edges)
-    while mark[0]:
+    while not _settled(edges):
         after = materialize(_small(_large(edges)), label)
-        now = _mark(after)
         discard(edges)
         edges = after
-        if now == mark:
-            break
-        mark = now
     return edges
 
 
