@@ -141,3 +141,23 @@ def test_media(spark):
     assert blank.collect() == []
     odd = spark.createDataFrame([(1, 3, 3, b"x" * 9), (2, 40, 40, b"x" * 1600), (3, 10, 10, b"x"), (4, None, None, None)], "id long, width int, height int, pixels binary")
     assert all(r["xs"] == [] for r in media.described(odd).collect())
+
+
+def test_media_finds_far_matches(spark):
+    """Copies whose 20 common corners differ in 20 to 40 bits each, the farthest that count as matches, are all found."""
+    draw = np.random.default_rng(8)
+    none = (np.zeros(0, np.int64),) * 3
+    tests = draw.integers(0, 256, (40, 20, 32), dtype=np.uint8)
+    at = draw.uniform(0, 100, (40, 2, 20)).astype(np.float32)
+    for bits in (0, 20, 40):
+        flipped = np.unpackbits(tests, axis=2)
+        for own in flipped.reshape(-1, 256):
+            own[draw.permutation(256)[:bits]] ^= 1
+        flipped = np.packbits(flipped, axis=2)
+        rows = lambda t: spark.createDataFrame([(k, at[k, 0].tolist(), at[k, 1].tolist(), t[k].tobytes()) for k in range(40)], "id long, xs array<float>, ys array<float>, tests binary")
+        both = media.blocks(rows(flipped), "a_", 90).crossJoin(media.blocks(rows(tests), "b_", 110))
+        got = both.mapInArrow(media._judge(media.Copies()), "query long, id long, agreeing long").collect()
+        assert sorted(map(tuple, got)) == [(k, k, 20) for k in range(40)]
+        i, j, d = media.matches(flipped.reshape(-1, 32), tests.reshape(-1, 32), 40)
+        assert sorted(zip(i, j, d, strict=True)) == [(k, k, bits) for k in range(800)]
+    assert [len(x) for x in media.matches(tests[0], np.zeros((0, 32), np.uint8), 40)] == [len(x) for x in none]
