@@ -222,6 +222,21 @@ def test_lines(spark, base):
     assert got == line_truth(rows, lines)
 
 
+def test_lines_with_few_edits(spark):
+    """With the parameters as they are, lines that differ in one or two characters are one from 79 and 153 characters on."""
+    pick = random.Random(9)
+    rows = []
+    for i in range(200):
+        edits = 1 + i % 2
+        line = [pick.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range((79, 153)[edits - 1] + pick.randrange(10))]
+        rows.append((i, "x" + "".join(line[1:])))
+        for k in range(edits):
+            line[(k + 1) * len(line) // (edits + 1)] = "0123456789"[i % 10]
+        rows.append((1000 + i, "x" + "".join(line[1:])))
+    got = {r["doc_id"]: r["lines_dropped"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i >= 1000) for i, _ in rows}
+
+
 def test_lines_odd(odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = {}
