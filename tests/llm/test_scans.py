@@ -161,3 +161,12 @@ def test_media_finds_far_matches(spark):
         i, j, d = media.matches(flipped.reshape(-1, 32), tests.reshape(-1, 32), 40)
         assert sorted(zip(i, j, d, strict=True)) == [(k, k, bits) for k in range(800)]
     assert [len(x) for x in media.matches(tests[0], np.zeros((0, 32), np.uint8), 40)] == [len(x) for x in none]
+
+
+def test_notice_after_a_piece_of_its_tail():
+    """A whole notice counts in full after a heading, whose words stand late in the template."""
+    scanner = Scanner()
+    for label, heading in (("cc-by-4.0", "Creative Commons Attribution 4.0."), ("gpl-3.0", "GNU General Public License, version 3.")):
+        notice = next(t for own, t in licences.TEMPLATES if own == label)
+        got = scanner.scan_text(f"{heading} {notice}".encode())
+        assert label in got[5].split(",") and got[6] == 1.0

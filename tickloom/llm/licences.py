@@ -150,7 +150,7 @@ class Scanner:
                 places, most = after, length
 
     def spans(self, symbols: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(start, end, template, part of the template that is covered) of chained matches; a match that no open chain takes opens one."""
+        """(start, end, template, part of the template that is covered) of chained matches; a match opens a chain unless it makes an open one at least as full as itself."""
         chains: dict[int, list[tuple[int, int, int, int]]] = {}  # template: start, end in the text, end in the template, covered
         out = []
         for end, template, at, length in sorted(self.matches(symbols), key=lambda m: (m[0] - m[3], m[0])):  # by where they begin
@@ -165,7 +165,7 @@ class Scanner:
                     waiting.append(chain)
                 else:
                     waiting.append(chain)
-            chains[template] = [*waiting, left or (end - length, end, at, length)]
+            chains[template] = [*waiting, left if left and left[3] >= length else (end - length, end, at, length)]
         out += [(start, upto, template, covered / self.sizes[template]) for template, own in chains.items() for start, upto, _, covered in own]
         best: dict[tuple[int, int], tuple[int, float]] = {}
         for start, end, template, part in out:  # of chains that begin together the fullest
