@@ -170,3 +170,11 @@ def test_notice_after_a_piece_of_its_tail():
         notice = next(t for own, t in licences.TEMPLATES if own == label)
         got = scanner.scan_text(f"{heading} {notice}".encode())
         assert label in got[5].split(",") and got[6] == 1.0
+
+
+def test_drawn_images_are_flat(spark):
+    """The drawn images are rectangles on plain ground, whose corners are alike in many images: nothing is added to tell them apart."""
+    pick = random.Random(4)
+    rows = [(i, [pick.uniform(-0.5, 0.5) for _ in range(64)]) for i in range(3)]
+    for r in media.render(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        assert len(set(r["pixels"])) <= media.SHAPES + 1
