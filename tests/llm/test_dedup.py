@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickloom.llm import exactdedup, hashing, linededup, oddsketch
-from tickloom.llm.linking import BLOCK_ROWS
+from tickloom.llm.linking import BLOCK_ROWS, _packer, _shared, combined, dealt, finer, unresolved
 from tickloom.llm.unionfind import components
 
 
@@ -248,3 +249,98 @@ def test_lines_odd(odd, empty):
     want = line_truth(rows, linededup.Lines())
     assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}
     assert linededup.dedup_lines(empty).count() == 0
+
+
+def test_lines_recall_at_the_threshold(spark):
+    """With the parameters as they are, at least 0.99 of the pairs of 85 % and more, as found by brute force, are linked."""
+    pick = random.Random(17)
+    rows, linked, close = [], set(), 0
+
+    def grams(t):
+        return {t[i : i + 6] for i in range(len(t) - 5)}
+
+    for i in range(1500):
+        line = "".join(pick.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(pick.randrange(80, 260)))
+        own = list("x" + line)
+        for _ in range(pick.randrange(1, 5)):
+            own[pick.randrange(1, len(own))] = pick.choice("0123456789")
+        a, b = "x" + line, "".join(own)
+        rows += [(i, a), (10_000 + i, b)]
+        share = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+        if share >= 0.85:
+            linked.add(10_000 + i)
+            close += share < 0.88
+    got = {r["doc_id"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("lines_dropped > 0").collect()}
+    assert close > 100 and got <= linked and len(got) >= 0.99 * len(linked)
+
+
+def test_long_lines_by_windows(monkeypatch):
+    """A text that is hashed in pieces, and a line that is hashed in windows, get what they get at once."""
+    pick = random.Random(23)
+    long = "".join(pick.choice("abcde é日🙂") for _ in range(9000))
+    texts = ["first line here\n" + long + "\n\nlast line\n" + long[:4000], "short", long + "z", "\n".join(long[k : k + 70] for k in range(0, 9000, 70)), " " * 5000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    raw = [x.encode() for t in texts for x in t.split("\n")]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+    def run():
+        out = pa.Table.from_batches(linededup._Signer(linededup.Lines()).run(iter([batch]))).to_pylist()
+        return out, [x.tolist() for x in linededup.line_sets(linededup.Lines())(data, bounds)], linededup._hashes([x.decode() for x in raw]).tolist()
+
+    whole = run()
+    monkeypatch.setattr(linededup, "BLOCK_CHARS", 1000)
+    assert run() == whole
+    assert [(r["doc_id"], r["line"]) for r in whole[0]] == [(i, k) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if x.strip()]
+
+
+def test_keys_meet_in_batches_and_partitions():
+    """What several ids share is found whether they meet in a batch or later, and each key goes on once a batch."""
+    pick = np.random.default_rng(3)
+    rows = [(int(i), pick.integers(0, 300, 4)) for i in pick.integers(0, 90, 120)]
+    shared = {}
+    for i, keys in rows:
+        for k in keys.tolist():
+            shared.setdefault(k, set()).add(i)
+    sent = []
+    for a in range(0, len(rows), 30):
+        part = rows[a : a + 30]
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in part]), pa.array([k.tobytes() for _, k in part], pa.binary())], names=["id", "keys"])
+        sent += list(_packer(5)(iter([batch])))
+        key, own, *_ = combined(np.array([i for i, _ in part]), np.arange(0, 121, 4), np.concatenate([k for _, k in part]))
+        assert len(set(key.tolist())) == len(key) and all(i == min(j for j, ks in part if k in ks.tolist()) for k, i in zip(key.tolist(), own.tolist(), strict=True))
+    got, links = {}, []
+    for r in pa.Table.from_batches(_shared(iter(sent))).to_pylist():
+        got.setdefault(r["key"], set()).add(r["id"])
+        links.append((r["centre"], r["id"]))
+        assert r["id"] in shared[r["key"]] and r["centre"] in shared[r["key"]]
+    assert got == {k: ids for k, ids in shared.items() if len(ids) > 1}
+
+
+def test_large_buckets_of_unlike_members(spark):
+    """What is dealt of a bucket whose members are unlike each other grows with the members, and no link of it is lost."""
+    pick, near = random.Random(31), oddsketch.Near()
+    common = [f"c{k}" for k in range(25)]
+    sets = lambda data, bounds: hashing.shingle_sets(data, bounds, near.words)
+    size = {}
+    for n in (6000, 12_000):
+        rows, links = [], []
+        for i in range(n):
+            words = common + [f"w{pick.randrange(10**9)}" for _ in range(35)]
+            rows.append((i, " ".join(words)))
+            if i % 300 == 0:
+                words[30 + i % 20] = "edited"
+                rows.append((n + i, " ".join(words)))
+                links.append((i, n + i))
+        df = spark.createDataFrame(rows, "id long, text string").repartition(8)
+        members = df.selectExpr("cast(1 as bigint) as key", "id", "id as component")
+        left = unresolved(members, "test-left", 3)
+        assert [tuple(r) for r in left.collect()] == [(1, r[1], 1, len(rows)) for r in left.collect()]
+        cut = finer(members.join(left.select("key", "n"), "key"), df, sets, near.percent)
+        still = unresolved(cut, "test-still", 2)
+        got = dealt(cut, still).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault((r["key"], r["lo"], r["hi"]), set()).add(r["id"])
+        assert all(any({a, b} <= g for g in groups.values()) for a, b in links)
+        size[n] = cut.count(), len(got)
+    assert size[12_000][0] <= 2.2 * size[6000][0] and size[12_000][1] <= 2.5 * size[6000][1] <= 6000

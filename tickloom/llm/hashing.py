@@ -44,6 +44,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def power(n: int) -> int:
+    """The base to the n, modulo 2 to the 64."""
+    return pow(_BASE, n, 1 << 64)
+
+
 def table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers for n positions; one table serves all usual blocks."""
     return powers(max(BLOCK, 1 << int(max(n, 1) - 1).bit_length()))

@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import hashing
-from tickloom.llm.chunks import groups
 from tickloom.llm.linking import buckets, link
 from tickloom.llm.shared import bounded_batches, discard, hold, materialize
 
 
+#: Characters that are hashed at once, and hashes of lines that a task remembers to have given band keys for.
+BLOCK_CHARS, SEEN_LINES = 1 << 18, 1 << 19
+
+
 @dataclass(frozen=True)
 class Lines:
     """size: characters of a shingle, so few that a line of 79 characters is still linked after one edit, one of 153 after two. percent: least Jaccard similarity of two lines. bands, rows: at 85 % a pair meets in no band with a chance of 3e-4, at 90 % of 8e-6."""
@@ -42,7 +45,7 @@ def _code_table(seed: int) -> np.ndarray:
     return hashing.mix(np.arange(1, 65_537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hashing.constants(seed, 1))
 
 
-_CODES, _CHECKS = _code_table(53), _code_table(54)
+_CODES = _code_table(53)
 _BLANK = np.zeros(65_536, bool)
 _BLANK[[9, 11, 12, 13, 32]] = True
 
@@ -70,11 +73,11 @@ def line_bounds(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(points)]])
 
 
-def prefix_sums(points: np.ndarray) -> np.ndarray:
+def prefix_sums(points: np.ndarray, codes: np.ndarray | None = None) -> np.ndarray:
     """Sums of the characters' codes times powers of the base, from 0 on: any run's hash is a difference."""
     out = np.zeros(len(points) + 1, np.uint64)
     up, _ = hashing.table(len(points) + 1)
-    np.cumsum(_looked_up(_CODES, points) * up[: len(points)], out=out[1:])
+    np.cumsum((_looked_up(_CODES, points) if codes is None else codes) * up[: len(points)], out=out[1:])
     return out
 
 
@@ -91,94 +94,227 @@ def line_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return hashing.mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)).view(np.int64)
 
 
-def line_checks(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Another 64-bit hash of each line, of its characters alone."""
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(_looked_up(_CHECKS, points), out=sums[1:])
-    return hashing.mix(sums[end] - sums[begin]).view(np.int64)
+def line_checks(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Another 64-bit hash of each line, of its characters' codes without their order."""
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes, out=sums[1:])
+    return hashing.mix((sums[end] - sums[begin]) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
+
+
+def _not_blank(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which lines have more than white space; most show it in their first character."""
+    out = end > begin
+    out[out] = ~_looked_up(_BLANK, points[begin[out]])
+    for k in np.flatnonzero(~out & (end > begin)).tolist():
+        out[k] = not _looked_up(_BLANK, points[begin[k] : end[k]]).all()
+    return out
+
+
+def _windows(text: str, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Of a long line (begin, characters of its own, its characters and the next size - 1 ones) of windows that cover it."""
+    for a in range(0, len(text), BLOCK_CHARS):
+        yield a, min(BLOCK_CHARS, len(text) - a), characters(text[a : a + BLOCK_CHARS + size - 1])
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
     """Sorted distinct hashes of a line's shingles; a line shorter than one is one."""
-    points = characters(text)
-    sums = prefix_sums(points)
-    if len(points) >= size:
-        return np.unique(char_grams(sums, size))
-    return line_hashes(sums, np.array([0]), np.array([len(points)])).view(np.uint64)
+    if len(text) < size:
+        points = characters(text)
+        return line_hashes(prefix_sums(points), np.array([0]), np.array([len(points)])).view(np.uint64)
+    return np.unique(np.concatenate([np.unique(char_grams(prefix_sums(points), size)) for _, _, points in _windows(text, size)]))
 
 
 def line_sets(lines: Lines):
-    """Of texts that are one line each the sorted sets of their shingles' hashes."""
+    """Of texts that are one line each the sorted sets of their shingles' hashes; many are hashed at once."""
+    size = lines.size
 
     def sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-        raw = data.tobytes()
-        return [shingle_set(raw[a:b].decode("utf-8", "replace"), lines.size) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        out: list[np.ndarray] = []
+        while len(out) < len(bounds) - 1:
+            k = len(out)
+            to = max(k + 1, int(np.searchsorted(bounds, bounds[k] + BLOCK_CHARS, "right")) - 1)
+            part = data[bounds[k] : bounds[to]]
+            text = part.tobytes().decode("utf-8")
+            if len(text) > BLOCK_CHARS:
+                out.append(shingle_set(text, size))
+                continue
+            at = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[bounds[k : to + 1] - bounds[k]].tolist()
+            grams = char_grams(prefix_sums(characters(text)), size)
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                if b - a < size:
+                    out.append(shingle_set(text[a:b], size))
+                else:
+                    own = np.sort(grams[a : b - size + 1])
+                    new = np.ones(len(own), bool)
+                    np.not_equal(own[1:], own[:-1], out=new[1:])
+                    out.append(own[new])
+        return out
 
     return sets
 
 
-def _signer(lines: Lines):
-    def one(own: list[str]) -> dict:
-        points = characters("\n".join(own))
+def segments(texts: list[str]) -> Iterator[tuple[int, int, str]]:
+    """(text, number of its first line, lines) of pieces of texts, cut at newlines; only a single line is longer than BLOCK_CHARS."""
+    for k, text in enumerate(texts):
+        at = line = 0
+        while len(text) - at > BLOCK_CHARS:
+            cut = text.rfind("\n", at, at + BLOCK_CHARS)
+            cut = text.find("\n", at + BLOCK_CHARS) if cut < 0 else cut
+            if cut < 0:
+                break
+            yield k, line, text[at:cut]
+            line += text.count("\n", at, cut) + 1
+            at = cut + 1
+        yield k, line, text[at:]
+
+
+def _blocks(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
+    """Runs of segments of about BLOCK_CHARS; a longer line is alone."""
+    own: list[tuple[int, int, str]] = []
+    held = 0
+    for x in segments(texts):
+        if own and held + len(x[2]) > BLOCK_CHARS:
+            yield own
+            own, held = [], 0
+        own.append(x)
+        held += len(x[2]) + 1
+    if own:
+        yield own
+
+
+class _Signer:
+    """Hashes of lines, and minima over the shingles of those that weren't met before."""
+
+    def __init__(self, lines: Lines):
+        self.lines, self.seen = lines, set()
+        self.times, self.plus = (hashing.constants(seed, lines.bands * lines.rows).astype(np.uint32) for seed in (55, 56))
+
+    def new(self, hashes: np.ndarray) -> np.ndarray:
+        """Which are met for the first time, as far back as the task remembers."""
+        _, first = np.unique(hashes, return_index=True)
+        first.sort()
+        values = hashes[first].tolist()
+        if len(self.seen) > SEEN_LINES:
+            self.seen = set()
+        keep = first[np.fromiter((x not in self.seen for x in values), bool, len(values))]
+        self.seen.update(values)
+        return keep
+
+    def minima(self, grams: np.ndarray, cuts: np.ndarray, step: int) -> np.ndarray:
+        out = np.empty((len(self.times), -(-len(cuts) // step)), np.uint32)
+        scratch = np.empty_like(grams)
+        for j in range(len(out)):
+            np.multiply(grams, self.times[j], out=scratch)
+            np.add(scratch, self.plus[j], out=scratch)
+            out[j] = np.minimum.reduceat(scratch, cuts)[::step]
+        return out.T
+
+    def keys(self, minima: np.ndarray) -> np.ndarray:
+        return hashing.band_keys(minima.astype(np.uint64), self.lines.bands, self.lines.rows)
+
+    def block(self, own: list[tuple[int, int, str]]) -> tuple[np.ndarray, ...] | None:
+        """(text, line number, hash, check, rows with keys, their keys) of the lines that aren't blank."""
+        size = self.lines.size
+        points = characters("\n".join(x for *_, x in own))
         begin, end = line_bounds(points)
-        per_doc = np.array([x.count("\n") + 1 for x in own])
-        doc = np.repeat(np.arange(len(own)), per_doc)
-        number = np.arange(len(begin)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-        visible = np.zeros(len(points) + 1, np.int64)
-        np.cumsum(~_looked_up(_BLANK, points), out=visible[1:])
-        full = visible[end] > visible[begin]
+        per = np.array([x.count("\n") + 1 for *_, x in own])
+        doc = np.repeat([k for k, *_ in own], per)
+        number = np.arange(len(begin)) - np.repeat(np.cumsum(per) - per, per) + np.repeat([n for _, n, _ in own], per)
+        full = _not_blank(points, begin, end)
         begin, end, doc, number = begin[full], end[full], doc[full], number[full]
         if not len(begin):
-            return {}
-        sums = prefix_sums(points)
-        hashes, check = line_hashes(sums, begin, end), line_checks(points, begin, end)
-        _, first = np.unique(hashes, return_index=True)
-        long = first[end[first] - begin[first] >= lines.size]
-        minima = np.zeros((len(begin), lines.bands * lines.rows), np.uint32)
-        grams = (char_grams(sums, lines.size) >> np.uint64(32)).astype(np.uint32)
+            return None
+        codes = _looked_up(_CODES, points)
+        sums = prefix_sums(points, codes)
+        hashes, check = line_hashes(sums, begin, end), line_checks(codes, begin, end)
+        new = self.new(hashes)
+        long = new[end[new] - begin[new] >= size]  # a short line is one shingle, so only an equal one is like it
+        keys = np.zeros((0, self.lines.bands), np.int64)
         if len(long):
-            long.sort()
+            grams = (char_grams(sums, size) >> np.uint64(32)).astype(np.uint32)
             cuts = np.empty(2 * len(long), np.int64)
-            cuts[::2], cuts[1::2] = begin[long], end[long] - lines.size + 1
-            cuts = cuts[:-1] if cuts[-1] >= len(grams) else cuts
-            times, plus = (hashing.constants(seed, minima.shape[1]).astype(np.uint32) for seed in (55, 56))
-            scratch = np.empty_like(grams)
-            for j in range(minima.shape[1]):
-                np.multiply(grams, times[j], out=scratch)
-                np.add(scratch, plus[j], out=scratch)
-                minima[long, j] = np.minimum.reduceat(scratch, cuts)[::2]
-        keys = hashing.band_keys(minima.astype(np.uint64), lines.bands, lines.rows)
-        signed = np.zeros(len(begin), bool)
-        signed[long] = True  # a short line is one shingle, so only an equal one is like it
-        return {"doc": doc, "number": number, "hash": hashes, "check": check, "keys": keys, "signed": signed}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cuts[::2], cuts[1::2] = begin[long], end[long] - size + 1
+            keys = self.keys(self.minima(grams, cuts[:-1] if cuts[-1] >= len(grams) else cuts, 2))
+        return doc, number, hashes, check, long, keys
+
+    def line(self, doc: int, number: int, text: str) -> tuple[np.ndarray, ...] | None:
+        """As block(), of one line that is longer than a block, window by window."""
+        if not text.strip(" \t\v\f\r"):
+            return None
+        total = check = 0
+        least = np.full(len(self.times), np.iinfo(np.uint32).max, np.uint32)
+        for a, n, points in _windows(text, self.lines.size):
+            codes = _looked_up(_CODES, points)
+            sums = prefix_sums(points, codes)
+            total += int(sums[n]) * hashing.power(a)
+            check += int(codes[:n].sum(dtype=np.uint64))
+            grams = (char_grams(sums, self.lines.size) >> np.uint64(32)).astype(np.uint32)
+            if len(grams):
+                least = np.minimum(least, self.minima(grams, np.array([0]), 1)[0])
+        whole = [np.array([x & 0xFFFFFFFFFFFFFFFF], np.uint64) for x in (total + len(text), check ^ 0x5851F42D4C957F2D)]
+        hashes, checks = (hashing.mix(x).view(np.int64) for x in whole)
+        rows = self.new(hashes)
+        return np.array([doc]), np.array([number]), hashes, checks, rows, self.keys(least[None])[: len(rows)]
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold()
+        self.seen = set()
         for batch in batches:
-            ids, at = batch.column(0).to_numpy(zero_copy_only=False), 0
-            for own in groups(batch.column(1).to_pylist(), 1 << 18):
-                got = one(own)
-                if got:
-                    ends = np.concatenate([[0], np.cumsum(np.where(got["signed"], lines.bands, 0))])
-                    keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got["keys"][got["signed"]].ravel()))
-                    columns = [pa.array(ids[at + got["doc"]]), pa.array(got["number"].astype(np.int32)), pa.array(got["hash"]), pa.array(got["check"]), keys]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "hash", "check", "keys"])
-                at += len(own)
-
-    return run
+            ids, parts, at = batch.column(0).to_numpy(zero_copy_only=False), [], 0
+            for own in _blocks(batch.column(1).to_pylist()):
+                found = self.line(*own[0]) if len(own[0][2]) > BLOCK_CHARS else self.block(own)
+                if found:
+                    doc, number, hashes, check, rows, keys = found
+                    parts.append((doc, number, hashes, check, rows + at, keys))
+                    at += len(hashes)
+            if parts:
+                doc, number, hashes, check, rows, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+                packed: list[bytes | None] = [None] * len(hashes)
+                for k, own in zip(rows.tolist(), keys, strict=True):
+                    packed[k] = own.tobytes()
+                order = np.lexsort((number, hashes, doc))
+                first = np.ones(len(order), bool)
+                first[1:] = (doc[order[1:]] != doc[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])
+                lead = np.empty(len(order), np.int32)
+                lead[order] = number[order[first]][np.cumsum(first) - 1]
+                columns = [pa.array(ids[doc]), pa.array(number.astype(np.int32)), pa.array(lead), pa.array(hashes), pa.array(check), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "lead", "hash", "check", "keys"])
+
+
+def _hashes(own: list[str]) -> np.ndarray:
+    """The hashes that a signer gives the lines."""
+    out = np.zeros(len(own), np.int64)
+    a = 0
+    while a < len(own):
+        b, size = a, 0
+        while b < len(own) and (b == a or size + len(own[b]) <= BLOCK_CHARS):
+            size += len(own[b]) + 1
+            b += 1
+        if size > BLOCK_CHARS + 1:
+            total = sum(int(prefix_sums(points)[n]) * hashing.power(k) for k, n, points in _windows(own[a], 1))
+            out[a:b] = hashing.mix(np.array([(total + len(own[a])) & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)
+        else:
+            points = characters("\n".join(own[a:b]))
+            out[a:b] = line_hashes(prefix_sums(points), *line_bounds(points))
+        a = b
+    return out
 
 
 def _picker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, lines: array of (line, hash)) to (id, text) of those lines."""
+    """From (text, lines, hashes) to (id, text) of those lines; of texts that share a doc_id only the one that has the line gives it."""
     for batch in batches:
-        ids, out = [], []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        wanted, out, ids = batch.column(1), [], batch.column(2).flatten().to_numpy()
+        numbers, ends = wanted.flatten().to_pylist(), wanted.offsets.to_numpy()
+        ends = (ends - ends[0]).tolist()
+        keep = np.zeros(len(ids), bool)
+        for k, text in enumerate(batch.column(0).to_pylist()):
             own = text.split("\n")
-            for x in wanted:
-                if x["line"] < len(own):
-                    ids.append(x["hash"])
-                    out.append(own[x["line"]])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
+            for i in range(ends[k], ends[k + 1]):
+                if numbers[i] < len(own):
+                    keep[i] = True
+                    out.append(own[numbers[i]])
+        same = _hashes(out) == ids[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep][same]), pa.array(out, pa.string()).filter(pa.array(same))], names=["id", "text"])
 
 
 def _cutter(at: int, width: int):
@@ -204,27 +340,29 @@ def dropped_lines(docs: DataFrame, lines: Lines = Lines(), id_col: str = "doc_id
     spark = docs.sparkSession
     bounded_batches(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    signed = materialize(plain.mapInArrow(_signer(lines), "doc_id long, line int, hash long, check long, keys array<long>"), "lines-signed")
-    members = buckets(signed.select(F.explode("keys").alias("key"), F.col("hash").alias("id")), "lines-members").distinct()
-    places = materialize(signed.select("doc_id", "line", "hash", "check"), "lines-places")
+    signed = materialize(plain.mapInArrow(_Signer(lines).run, "doc_id long, line int, lead int, hash long, check long, keys binary"), "lines-signed")
+    members = buckets(signed.select(F.col("hash").alias("id"), "keys").where("keys is not null"), lines.bands * signed.count(), "lines-members")
+    places = materialize(signed.select("doc_id", "line", "lead", "hash", "check"), "lines-places")
     discard(signed)
-    once = places.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.count(F.lit(1)).alias("n"))
-    once = materialize(once, "lines-once")
+    # lead is a document's first line of that hash, the same in all its rows, so these are plain numbers, which a hash table can hold.
+    once = places.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.min_by("lead", "doc_id").alias("line"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.count(F.lit(1)).alias("n"))
+    once = materialize(once.select("hash", F.struct("doc_id", "line").alias("first"), "c0", "c1", "n"), "lines-once")
 
     def texts(ids: DataFrame) -> DataFrame:
-        """One place of each line, then its text from that document."""
-        one = once.join(ids.withColumnRenamed("id", "hash"), "hash", "left_semi").select(F.col("first.doc_id"), F.struct("first.line", "hash").alias("own"))
-        wanted = one.groupBy("doc_id").agg(F.collect_list("own").alias("lines"))  # a document's own lines at most
-        return plain.join(wanted, "doc_id").select("text", "lines").mapInArrow(_picker, "id long, text string")
+        """One place of each line, then its text from that document. The documents are the larger side, and needn't be sorted."""
+        one = once.join(ids.withColumnRenamed("id", "hash").hint("shuffle_hash"), "hash", "left_semi").select(F.col("first.doc_id"), F.struct("first.line", "hash").alias("own"))
+        wanted = one.groupBy("doc_id").agg(F.collect_list("own").alias("own"))  # a document's own lines at most
+        return plain.join(wanted.hint("shuffle_hash"), "doc_id").select("text", F.col("own.line").alias("lines"), F.col("own.hash").alias("hashes")).mapInArrow(_picker, "id long, text string")
 
     known = link(members, texts, line_sets(lines), lines.linked, lines.percent, "lines")
-    each = once.join(known.withColumnRenamed("id", "hash"), "hash", "left").where("n > 1 or component is not null")  # the others are alone
+    each = once.join(known.withColumnRenamed("id", "hash").hint("shuffle_hash"), "hash", "left").where("n > 1 or component is not null")  # the others are alone
     each = materialize(each.withColumn("component", F.coalesce("component", "hash")), "lines-each")
-    stays = each.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1")
+    # Written, so that the join on a component, which may hold many lines, has two plain shuffles.
+    stays = materialize(each.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1"), "lines-stays")
     fate = each.where("c0 = c1").join(stays, "component").select("hash", "stays")  # two lines that share a hash by chance both stay
-    gone = places.select("hash", "doc_id", "line").join(fate, "hash").where("stays.doc_id <> doc_id or stays.line <> line")
+    gone = places.select("hash", "doc_id", "line").join(fate.hint("shuffle_hash"), "hash").where("stays.doc_id <> doc_id or stays.line <> line")
     out = materialize(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "lines-gone")
-    for x in (places, once, each):
+    for x in (places, once, each, stays, known):
         discard(x)
     return out
 
@@ -236,9 +374,11 @@ def dedup_lines(docs: DataFrame, lines: Lines = Lines(), id_col: str = "doc_id",
     similarity of their character shingles; a line shorter than a shingle is like equal ones only. The smallest (doc_id, line)
     of a component stays. Null and empty texts stay as they are; a text that loses all its lines becomes empty. Rows with a null
     doc_id are left whole. doc_id names a text: rows repeated under one lose the same lines. All other columns keep their values.
+    A text longer than a block is hashed piece by piece, one long line window by window. An empty table gives an empty one.
     """
     names = docs.columns
     gone = dropped_lines(docs, lines, id_col, text_col).select(F.col("doc_id").alias("__tickloom_doc"), F.col("gone").alias("__tickloom_gone"))
-    both = docs.join(gone, docs[id_col].cast("long") == F.col("__tickloom_doc"), "left").select(*[docs[c] for c in names], F.col("__tickloom_gone").alias(lost_col))
+    # The documents are the larger side: dealt by their id at any size, and not sorted.
+    both = docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("__tickloom_doc"), "left").select(*[docs[c] for c in names], F.col("__tickloom_gone").alias(lost_col))
     schema = docs.select(*names).withColumn(lost_col, F.lit(0).cast("long")).schema
     return both.mapInArrow(_cutter(names.index(text_col), len(names)), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import hashing
 from tickloom.llm.linking import buckets, link
-from tickloom.llm.shared import bounded_batches, hold, materialize, texts_of, utf8
+from tickloom.llm.shared import bounded_batches, discard, hold, materialize, texts_of, utf8
 
 
 @dataclass(frozen=True)
@@ -91,7 +91,7 @@ def _signer(near: Near):
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array(digest[:, 0]),
                     pa.array(digest[:, 1]),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, near.bands), pa.int32()), pa.array(keys.ravel())),
+                    pa.array([x.tobytes() for x in keys], pa.binary()),
                     pa.array([x.tobytes() for x in sketch], pa.binary()),
                 ],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "sketch"],
@@ -122,10 +122,11 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
     spark = docs.sparkSession
     bounded_batches(spark)
     plain = texts_of(docs, id_col, text_col)
-    signed = materialize(plain.mapInArrow(_signer(near), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sketch binary"), "near-signed")
+    signed = materialize(plain.mapInArrow(_signer(near), "doc_id long, n_shingles long, set_a long, set_b long, keys binary, sketch binary"), "near-signed")
     classes = materialize(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")), "near-classes")
-    stand = signed.where("n_shingles > 0").select("set_a", "set_b", F.col("doc_id").alias("id"), "keys", "sketch").join(classes, ["set_a", "set_b", "id"])
-    members = buckets(stand.select(F.explode("keys").alias("key"), "id"), "near-members")
+    stand = signed.where("n_shingles > 0").select("set_a", "set_b", F.col("doc_id").alias("id"), "keys", "sketch").join(classes, ["set_a", "set_b", "id"]).dropDuplicates(["set_a", "set_b", "id"])
+    stand = materialize(stand.select("id", "keys", "sketch"), "near-stand")
+    members = buckets(stand, near.bands * stand.count(), "near-members")
     most = near.most_ones()
     known = link(
         members,
@@ -138,6 +139,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
         lambda pairs: pairs.where(_ones("sketch_a", "sketch_b", near.bits) <= most),
         lambda group: ones_apart(group) <= most,
     )
+    discard(stand)
     named = classes.join(known, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("set_a"), "set_b").join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

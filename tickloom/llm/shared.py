@@ -43,12 +43,14 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset and Spark is local, as in tests. On a cluster it has to be set."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_dir:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         set_dir = given.get() if given.isDefined() else None
     if not set_dir:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="tickloom-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
@@ -64,11 +66,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    The table goes with discard(), or else when the driver ends.
+    """
     spark = df.sparkSession
     path, schema = new_folder(spark, label), df.schema
     df.write.option("compression", codec).parquet(path)
+    store, at = _file_system(spark, path)
+    store.deleteOnExit(at)
     del df
     release(spark)
     out = spark.read.schema(schema).parquet(path)
@@ -80,9 +92,9 @@ def discard(df: DataFrame) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_tickloom_path", None)
     if path:
-        spark = df.sparkSession
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        store, at = _file_system(df.sparkSession, path)
+        store.delete(at, True)
+        store.cancelDeleteOnExit(at)
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
