@@ -34,42 +34,49 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text of documents by the rank file, and what they decode to. Null texts are empty ones; a row comes out for each that went in, repeated and odd ones too."""
     return bpesql.encoded(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, licences and score of every whole text of documents. Null texts are empty ones; a row comes out for each that went in, repeated and odd ones too."""
     return licences.scan_licences(documents(spark, sf_dir))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text of documents, counted without the library. Null texts are empty ones; a row comes out for each that went in, repeated and odd ones too."""
     return tokencount.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents. Null texts are empty ones; a row comes out for each that went in, repeated and odd ones too."""
     return exactdedup.exact_groups(documents(spark, sf_dir))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of binary lengths, a sequence each; a null text has its end id alone."""
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edited versions of the images of every twentieth row of embeddings, searched among the images of all its rows.
 
-    The tables have no image column, so images are drawn from the vectors. A row per query and class of equal images that it copies.
+    The tables have no image column, so images are drawn from the vectors; the edits take turns. A row per query and class of equal images that it copies.
     """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     found, members = media.find_copies(media.render(vectors.where("vec_id % 20 = 0"), edited=True), media.render(vectors))
     sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     named = found.join(sizes, F.col("id") == F.col("class_id")).join(members.select(F.col("id").alias("query"), F.col("class_id").alias("own_class")), "query")
-    return named.select("query", "class_id", "class_size", "agreeing", (F.col("class_id") == F.col("own_class")).alias("own"))
+    return named.select("query", media.edit_of(F.col("query")).alias("edit"), "class_id", "class_size", "agreeing", (F.col("class_id") == F.col("own_class")).alias("own"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents at 75 % of five-word shingles. Null texts are empty ones; a row comes out for each that went in, repeated and odd ones too."""
     return oddsketch.near_duplicates(documents(spark, sf_dir))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back. Null texts are empty ones; a row comes out for each that went in, repeated and odd ones too."""
     return tokenbin.token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
