@@ -23,10 +23,13 @@ BLOCK = 1 << 18
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows, about so many, that the trigram model is fitted on. buckets: of trigrams, a power of two. evidence: trigrams
+    """sample: labelled rows, about so many, that the trigram model is fitted on, shared evenly by the languages. fewest: rows of a language that is
+    modelled, languages: so many of them at most, those with most rows. buckets: of trigrams, a power of two. evidence: trigrams
     that a text counts for at most, as they depend on each other. strength: pseudo-counts of a parent's distribution. least: posterior below which a document is rejected."""
 
     sample: int = 4000
+    fewest: int = 5
+    languages: int = 256
     buckets: int = 1 << 15
     evidence: float = 60.0
     strength: float = 10.0
@@ -109,16 +112,29 @@ def _cut(bounds: np.ndarray, first: int, last: int) -> Iterator[tuple[int, int,
             at = end - 2
 
 
+#: What a declaration that the model doesn't know counts as.
+OTHER = "*"
+
+
+def plain(label: Column) -> Column:
+    """A language's label or declaration without its region, in small letters; null if nothing is left."""
+    out = F.lower(F.trim(F.regexp_substr(label.cast("string"), F.lit("^[^-_]*"))))
+    return F.when(out != "", out)
+
+
 def fit(docs: DataFrame, settings: Settings = Settings(), label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
     """Trigram frequencies by language over about settings.sample labelled rows, picked by a hash of their id.
 
+    Labels count without their region, in small letters, as declarations do. The languages are counted over all rows; each gets an even share
+    of the sample, so that a rare one is modelled too. Rows without a label, text or id are left out; a table without labels gives the one language und.
     The counts are summed by Spark; what reaches the driver is a row for each bucket and language.
     """
     buckets = settings.buckets
-    labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    n = labelled.count()
-    share = min(1.0, settings.sample / max(n, 1))
-    chosen = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = docs.select(plain(F.col(label_col)).alias("label"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).where("label is not null and text is not null and id is not null")
+    known = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= settings.fewest).orderBy(F.desc("n"), "label").limit(settings.languages).collect()
+    share = {r["label"]: min(1.0, settings.sample / len(known) / r["n"]) for r in known}
+    bound = F.coalesce(*(F.when(F.col("label") == k, F.lit(int(x * (1 << 30)))) for k, x in share.items())) if share else F.lit(0)
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +149,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), label_col: str = "lang
                 at = np.flatnonzero(own)
                 yield pa.RecordBatch.from_pydict({"label": [label] * len(at), "bucket": at.astype(np.int32), "n": own[at]})
 
-    rows = chosen.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
+    rows = chosen.select("label", "text").mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     languages = tuple(sorted({r["label"] for r in rows})) or ("und",)
     table = np.full((buckets, len(languages)), 0.5)
     for r in rows:
@@ -150,21 +166,21 @@ def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), id_
     """(doc_id, language, posterior, text_language, declared, n_trigrams, accepted): one row per row of docs.
 
     declared, host and suffix are expressions over docs, each null where there is no such evidence, which then says nothing;
-    a declared value counts by its part before "-", lower-cased, and only if the model knows it. posterior is rounded to six
+    a declared value counts by its part before "-", lower-cased, and those that the model doesn't know count as one value and are null in the result. posterior is rounded to six
     digits; ties go to the first language by name. A text without a trigram that has a letter (null, empty, digits) can't be
     identified: it is rejected, and its language is und. So is one whose best posterior is below settings.least. A null doc_id
-    stays null, repeated rows count each, other columns are left alone.
+    stays null, repeated rows count each, other columns are left alone. Long texts are read in blocks; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     names = model.languages
     kinds = len(names)
     none = F.lit(None).cast("string")
-    said = F.lower(F.substring_index((none if declared is None else declared).cast("string"), "-", 1))
+    said = plain(none if declared is None else declared)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        F.when(said.isin(*names), said).alias("declared"),
+        F.when(said.isNotNull(), F.when(said.isin(*names), said).otherwise(F.lit(OTHER))).alias("declared"),
         (none if host is None else F.lower(host.cast("string"))).alias("host"),
         (none if suffix is None else F.lower(suffix.cast("string"))).alias("suffix"),
     )
@@ -188,11 +204,12 @@ def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), id_
 
     # How each declaration goes with each language: a row for each of the model's languages.
     joint = {r["declared"]: r for r in seen.where(has & F.col("declared").isNotNull()).groupBy("declared").agg(*(F.sum(c).alias(f"s{j}") for j, c in enumerate(text))).collect()}
-    counts = np.array([[joint[d][f"s{j}"] if d in joint else 0.0 for j in range(kinds)] for d in names]) + 0.5
+    values = (*names, OTHER)
+    counts = np.array([[joint[d][f"s{j}"] if d in joint else 0.0 for j in range(kinds)] for d in values]) + 0.5
     given = counts / counts.sum(axis=0)
     says = []
     for j in range(kinds):
-        says.append(F.coalesce(F.create_map(*[x for k, d in enumerate(names) for x in (F.lit(d), F.lit(float(given[k, j])))])[F.col("declared")], F.lit(1.0)))
+        says.append(F.coalesce(F.create_map(*[x for k, d in enumerate(values) for x in (F.lit(d), F.lit(float(given[k, j])))])[F.col("declared")], F.lit(1.0)))
     own = [F.col(f"p{j}") for j in range(kinds)]
     weighed = seen.select("*", *(c.alias(f"p{j}") for j, c in enumerate(_normal([t * s for t, s in zip(text, says, strict=True)]))))
 
@@ -234,7 +251,7 @@ def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), id_
         F.when(sure, winner("q", best)).otherwise(F.lit("und")).alias("language"),
         F.round(best, 6).alias("posterior"),
         F.when(has, winner("t", top_text)).otherwise(F.lit("und")).alias("text_language"),
-        "declared",
+        F.when(F.col("declared") != OTHER, F.col("declared")).alias("declared"),
         F.col("n").alias("n_trigrams"),
         sure.alias("accepted"),
     )
