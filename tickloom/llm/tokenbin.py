@@ -1,6 +1,6 @@
 """Token files: flat unsigned ids and 64-bit document offsets, one shard per range of doc_id, read by memory map.
 
-Shard k has three files: k.bin, all ids of its documents in order, 16 bits each if the vocabulary allows, else 32;
+Shard k has three files: k.bin, all ids of its documents in order, 16 bits each if the tokenizer's largest id allows, else 32;
 k.off, n + 1 signed 64-bit offsets into k.bin, in ids; k.doc, n signed 64-bit doc_ids and then n bytes, 0 where the
 doc_id was null. Shards are ranges of doc_id in order; a shard's base is the prefix sum of the ids in those before it.
 Files are written under a name of their own and then renamed, so a task that runs twice leaves one whole shard.
@@ -8,6 +8,7 @@ Files are written under a name of their own and then renamed, so a task that run
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -34,17 +35,24 @@ def _uri(folder: str) -> str:
     return "file://" + folder.removeprefix("file:") if folder.startswith("file:/") and not folder.startswith("file://") else folder
 
 
-def write_tokens(docs: DataFrame, path: str, folder: str | None = None, vocabulary: int = 49_408, end_id: int = END_ID, drop_white: bool = True, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
+def largest_id(path: str) -> int:
+    """The largest id that the tokenizers file at path can give."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    return max([*own["model"]["vocab"].values(), *(x["id"] for x in own["added_tokens"])])
+
+
+def write_tokens(docs: DataFrame, path: str, folder: str | None = None, end_id: int = END_ID, drop_white: bool = True, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
     """Encodes docs by the tokenizers file at path and writes the shards; returns the folder and the manifest (shard, n_docs, n_ids).
 
     Documents lie in ascending doc_id order, null doc_ids first, rows of one doc_id by their text; a null text counts as
-    empty and has the end id alone. drop_white: the tokenizer ignores white space, so words may be looked up alone. Other
+    empty and has the end id alone; a very long one is encoded whole. drop_white: the tokenizer ignores white space, so words may be looked up alone. Other
     columns are left alone; an empty table writes no shard.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = _uri(folder or new_folder(spark, "tokens"))
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    kind = "<u2" if max(largest_id(path), end_id) < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, shard = ids_of(path, drop_white), TaskContext.get().partitionId()
@@ -90,12 +98,11 @@ def _mapped(store, name: str, kind: str) -> np.ndarray:
         return np.memmap(local.name, kind, "r") if local.tell() else np.zeros(0, kind)
 
 
-def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, vocabulary: int = 49_408, with_ids: bool = False, rows: int = 4096) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document in the files; start counts the ids of all documents before it.
+def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool = False, rows: int = 4096) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document in the files; start counts the ids of all documents before it. An id's width is that of the file by its ids.
 
     The manifest has one row per shard, so its prefix sums fit the driver; each shard is one task.
     """
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     shards = sorted((x["shard"], x["n_ids"]) for x in manifest.select("shard", "n_ids").collect())
     bases, total = [], 0
     for shard, n in shards:
@@ -107,7 +114,8 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, vocabular
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 shard, base = bases[k]
-                ids, offsets = _mapped(store, f"{top}/{shard}.bin", kind), _mapped(store, f"{top}/{shard}.off", "<i8")
+                flat, offsets = _mapped(store, f"{top}/{shard}.bin", "u1"), _mapped(store, f"{top}/{shard}.off", "<i8")
+                ids = flat.view("<u2" if len(flat) == 2 * offsets[-1] else "<u4")
                 raw, n = _mapped(store, f"{top}/{shard}.doc", "u1"), len(offsets) - 1
                 numbers, valid = raw[: 8 * n].view("<i8"), raw[8 * n :]
                 for a in range(0, n, rows):
@@ -131,4 +139,4 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, vocabular
 def token_files(docs: DataFrame, path: str, **options) -> DataFrame:
     """Writes docs as token files in the shared folder and returns what the files hold, one row per document."""
     folder, manifest = write_tokens(docs, path, **options)
-    return read_tokens(docs.sparkSession, folder, manifest, options.get("vocabulary", 49_408))
+    return read_tokens(docs.sparkSession, folder, manifest)
