@@ -43,6 +43,56 @@ def test_evidence_decides_where_text_is_thin(spark, spoken):
     assert got[101]["declared"] == "fr" and got[102]["declared"] is None
 
 
+def test_labels_are_plain(spark):
+    """Labels and declarations count without region and case; rare languages are modelled, and those with too few rows aren't."""
+    rows = [(i, "the other hand and then there " * 3, "EN") for i in range(400)] + [(1000 + i, "eau que tion ment ieu " * 3, "fr-CA") for i in range(6)] + [(2000, "zzz zzz", "xx"), (2001, "the", None), (2002, "the", "-")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.Settings(sample=40))
+    assert model.languages == ("en", "fr")
+
+
+def test_fusion_by_hand(spark, spoken):
+    """The posterior of every row, from text likelihoods, declarations and host counts that are computed here row by row."""
+    model, settings = langid.fit(spoken), langid.Settings()
+    rows = [(r["doc_id"], r["text"], r["lang"] if r["doc_id"] % 7 else ("klingon" if r["doc_id"] % 2 else None), r["host"] if r["doc_id"] % 11 else None) for r in spoken.collect()] + [(9001, "", "fr", "host1.fr"), (9002, None, None, None), (9003, "12 34", "de", "host1.fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, said string, host string")
+    names = model.languages
+    text, seen = [], []
+    for _, t, _, _ in rows:
+        raw = (t or "").encode()
+        total, count = langid.log_likelihoods(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), model)
+        x = total[0] * (min(count[0], settings.evidence) / max(count[0], 1))
+        p = np.exp(x - x.max())
+        text.append(p / p.sum())
+        seen.append(count[0] > 0)
+    kind = lambda d: None if d is None else d if d in names else "*"
+    given = {d: np.full(len(names), 0.5) for d in (*names, "*")}
+    for (_, _, d, _), p, has in zip(rows, text, seen, strict=True):
+        if has and d is not None:
+            given[kind(d)] += p
+    whole = sum(given.values())
+    own = [p * given[kind(d)] / whole if d is not None else p for (_, _, d, _), p in zip(rows, text, strict=True)]
+    own = [p / p.sum() for p in own]
+    end = lambda h: None if h is None else h.rsplit(".", 1)[-1]
+    hosts, ends, world = {}, {}, np.ones(len(names))
+    for (_, _, _, h), p, has in zip(rows, own, seen, strict=True):
+        if has:
+            hosts[h] = hosts.get(h, 0) + p
+            ends[end(h)] = ends.get(end(h), 0) + p
+            world = world + p
+    world /= world.sum()
+    got = {r["doc_id"]: r for r in langid.identify(df, model, declared=F.col("said"), host=F.col("host"), suffix=F.substring_index("host", ".", -1)).collect()}
+    assert len(got) == len(rows)
+    for (i, _, _, h), p, has in zip(rows, own, seen, strict=True):
+        prior, mine = world, p if has else 0 * p
+        if h is not None:
+            for counts in (ends[end(h)], hosts[h]):
+                left = np.maximum(counts - mine, 0)
+                prior = (left + settings.strength * prior) / (left.sum() + settings.strength)
+        q = p * prior / (p * prior).sum()
+        assert abs(got[i]["posterior"] - q.max()) < 2e-6
+        assert got[i]["language"] == (names[int(q.argmax())] if has and q.max() >= settings.least else "und")
+
+
 def test_language_odd(odd, empty, spoken):
     model = langid.fit(spoken)
     got = langid.identify(odd, model, declared=F.col("label"), host=F.col("host")).collect()
@@ -121,55 +171,133 @@ def test_licences(spark, odd, empty):
 
 def test_cut_templates_are_found():
     s = Scanner()
-    words = licences.words_of(licences.TEMPLATES[7][1].encode())
+    words = licences.words_of(next(t for label, _, t in licences.TEMPLATES if label == "bsd-2-clause").encode())
     for keep in (0.7, 0.3):
         text = b" ".join([*words[: int(len(words) * keep)], b"zzz"])
-        assert ("bsd" in s.scan_text(text)[5]) == (keep > 0.6)
+        assert ("bsd-2-clause" in s.scan_text(text)[5]) == (keep > 0.6)
+
+
+def test_each_template_names_itself():
+    """Every notice and whole text gets its own licence's label and no sister's, alone and in other words."""
+    s = Scanner()
+    for label, _, text in licences.TEMPLATES:
+        got = s.scan_text(f"Some words before it. {text} And some behind it.".encode())
+        assert set(got[5].split(",")) - set(got[4].split(",")) == {label} and got[6] == 1.0, (label, text[:80], got[5])
+    for text, label in (
+        ("licensed under the GNU General Public License, version 2", "gpl-2.0"), ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or", "lgpl-3.0"),
+        ("Licensed under CC BY 4.0", "cc-by-4.0"), ("CC BY-SA 3.0", "cc-by-sa-3.0"), ("the terms of the GNU General Public License", ""), ("may be used under the License, version 2.0", ""),
+    ):
+        got = s.scan_text(text.encode())
+        assert set(got[5].split(",")) - set(got[4].split(",")) == ({label} if label else set()), text
+
+
+def test_chains_against_brute_force():
+    """The fullest chain of each template, against one that tries every chain of matches found by comparing all places."""
+    pick = random.Random(13)
+    for _ in range(150):
+        templates = [("a", "", " ".join(pick.choice("pqrst") for _ in range(pick.randrange(4, 14)))) for _ in range(2)]
+        scan = licences.Scan(least=2, gap=1, cover=0.1)
+        scanner = Scanner(templates, (), scan, ())
+        words = [pick.choice("pqrstx") for _ in range(24)]
+        symbols = np.array([scanner.symbol.get(w.encode(), 0) for w in words], np.int32)
+        for number, (_, _, text) in enumerate(templates):
+            own = text.split()
+            found = []
+            for i in range(len(words)):
+                for j in range(len(own)):
+                    if (i == 0 or j == 0 or words[i - 1] != own[j - 1]) and words[i] == own[j]:
+                        n = 0
+                        while i + n < len(words) and j + n < len(own) and words[i + n] == own[j + n]:
+                            n += 1
+                        if n >= scan.least:
+                            found.append((i + n, j + n, n))
+            known = {}
+            for end, at, n in sorted(found, key=lambda m: (m[0] - m[2], m)):
+                ways = [c + min(n, at - b, end - a) for (a, b), cs in known.items() for c in cs if end - n - a <= 1 and at - n - b <= 1 and min(n, at - b, end - a) > 0]
+                known.setdefault((end, at), []).append(max([n, *ways]))
+            want = max((c for cs in known.values() for c in cs), default=0)
+            got = [c[3] for c in scanner.chains(symbols) if c[2] == number]
+            assert max(got, default=0) == want
+
+
+def test_notice_after_a_piece_of_its_tail():
+    """A whole notice counts in full after a heading, whose words stand late in the template."""
+    scanner = Scanner()
+    for label, heading in (("cc-by-4.0", "Creative Commons Attribution 4.0."), ("gpl-3.0", "GNU General Public License, version 3.")):
+        notice = next(t for own, _, t in licences.TEMPLATES if own == label and len(t) > 60)
+        got = scanner.scan_text(f"{heading} {notice}".encode())
+        assert label in got[5].split(",") and got[6] == 1.0
 
 
-def test_media(spark):
+@pytest.fixture(scope="module")
+def vectors():
     pick = random.Random(3)
-    vectors = [[pick.uniform(-0.5, 0.5) for _ in range(64)] for _ in range(60)]
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(100 + i, vectors[0]) for i in range(20)] + [(200, None), (201, [0.1]), (None, vectors[1]), (5, vectors[5])]
+    return [[pick.uniform(-0.5, 0.5) for _ in range(64)] for _ in range(120)]
+
+
+def test_media(spark, vectors):
+    rows = [(i, v) for i, v in enumerate(vectors[:60])] + [(100 + i, vectors[0]) for i in range(20)] + [(200, None), (201, [0.1]), (None, vectors[1]), (5, vectors[5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    images = media.render(df).withColumn("query", F.lit(1))
-    found, members = media.find_copies(media.render(df.where("vec_id < 40"), edited=True), images)
+    images = media.render(df).withColumn("query", F.lit(1)).withColumn("corners", F.lit("x")).withColumn("votes", F.lit("y"))
+    found, members = media.find_copies(media.render(df.where("vec_id < 40"), edited="cropped"), images)
     got = {(r["query"], r["id"]) for r in found.collect()}
-    assert len({q for q, i in got if q == i}) >= 36 and len(got) <= 44
+    assert len({q for q, i in got if q == i}) >= 39 and len(got) <= 43
     assert {r["class_id"] for r in members.where("id >= 100 and id < 200").collect()} == {0}
     blank, _ = media.find_copies(images.where("false"), images)
-    assert blank.collect() == []
+    assert blank.collect() == [] and media.find_copies(images, images.where("false"))[0].collect() == []
     odd = spark.createDataFrame([(1, 3, 3, b"x" * 9), (2, 40, 40, b"x" * 1600), (3, 10, 10, b"x"), (4, None, None, None)], "id long, width int, height int, pixels binary")
-    assert all(r["xs"] == [] for r in media.described(odd).collect())
+    assert all(r["corners"] == b"" for r in media.described(odd).collect())
+
+
+def test_media_by_edit_against_full_comparison(spark, vectors):
+    """Of each kind of edit at least 0.9 of the copies are found, and at least 0.9 of what comparing every descriptor with every one finds."""
+    images = media.render(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"))
+    asked = spark.createDataFrame([(20 * k, vectors[k]) for k in range(90)], "vec_id long, embedding array<double>")
+    edits = {r["vec_id"]: r["edit"] for r in asked.select("vec_id", media.edit_of(F.col("vec_id")).alias("edit")).collect()}
+    queries = media.render(asked, edited=True)
+    got = {(r["query"], r["id"]) for r in media.find_copies(queries, images)[0].collect()}
+    full = {(r["query"], r["id"]) for r in media.compared_in_full(media.described(queries), media.described(images), media.Copies()).collect()}
+    assert len(set(edits.values())) == len(media.EDITS) and got <= full and len(got) >= 0.9 * len(full)
+    for edit in media.EDITS:
+        own = [q for q, e in edits.items() if e == edit]
+        assert sum((q, q // 20) in got for q in own) >= 0.9 * len(own), edit
+
+
+def test_media_with_common_parts(spark, vectors):
+    """Images that differ in one pixel share all their parts, more than count as common: their queries are compared with all images, and all copies are found."""
+    image = media.drawn(np.array([v[:63] for v in vectors[:30]])).astype(np.uint8)
+    rows = []
+    for k in range(60):
+        own = image[0].copy()
+        own[k, 111] ^= 255
+        rows.append((k, 112, 112, own.tobytes()))
+    rows += [(100 + k, 112, 112, x.tobytes()) for k, x in enumerate(image[1:])]
+    df = spark.createDataFrame(rows, "id long, width int, height int, pixels binary")
+    found, members = media.find_copies(df.where("id in (7, 110)"), df, media.Copies(most=8))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query"], set()).add(r["id"])
+    assert got[7] >= set(range(60)) and 110 in got[110] and len(got[7]) <= 62
+    assert members.where("id <> class_id").count() == 0
 
 
 def test_media_finds_far_matches(spark):
-    """Copies whose 20 common corners differ in 20 to 40 bits each, the farthest that count as matches, are all found."""
-    draw = np.random.default_rng(8)
-    none = (np.zeros(0, np.int64),) * 3
-    tests = draw.integers(0, 256, (40, 20, 32), dtype=np.uint8)
-    at = draw.uniform(0, 100, (40, 2, 20)).astype(np.float32)
-    for bits in (0, 20, 40):
-        flipped = np.unpackbits(tests, axis=2)
+    """Copies whose 20 common corners differ in as many bits as still count as a match are all found by the full comparison."""
+    draw, copies = np.random.default_rng(8), media.Copies()
+    base = np.zeros((40, 20), media.CORNER)
+    base["tests"] = draw.integers(0, 256, (40, 20, 32), dtype=np.uint8)
+    base["x"], base["y"] = draw.uniform(0, 100, (2, 40, 20))
+    for bits in (0, 16, copies.apart):
+        flipped = np.unpackbits(base["tests"], axis=2)
         for own in flipped.reshape(-1, 256):
             own[draw.permutation(256)[:bits]] ^= 1
-        flipped = np.packbits(flipped, axis=2)
-        rows = lambda t: spark.createDataFrame([(k, at[k, 0].tolist(), at[k, 1].tolist(), t[k].tobytes()) for k in range(40)], "id long, xs array<float>, ys array<float>, tests binary")
-        both = media.blocks(rows(flipped), "a_", 90).crossJoin(media.blocks(rows(tests), "b_", 110))
-        got = both.mapInArrow(media._judge(media.Copies()), "query long, id long, agreeing long").collect()
-        assert sorted(map(tuple, got)) == [(k, k, 20) for k in range(40)]
-        i, j, d = media.matches(flipped.reshape(-1, 32), tests.reshape(-1, 32), 40)
+        other = base.copy()
+        other["tests"] = np.packbits(flipped, axis=2)
+        rows = lambda t: spark.createDataFrame([(k, t[k].tobytes()) for k in range(40)], "id long, corners binary")
+        got = media.compared_in_full(rows(other), rows(base), copies).collect()
+        assert [(r["query"], r["id"]) for r in sorted(got)] == [(k, k) for k in range(40)] and all(r["agreeing"] >= 15 for r in got)
+        i, j, d = media.matches(other["tests"].reshape(-1, 32), base["tests"].reshape(-1, 32), copies.apart)
         assert sorted(zip(i, j, d, strict=True)) == [(k, k, bits) for k in range(800)]
-    assert [len(x) for x in media.matches(tests[0], np.zeros((0, 32), np.uint8), 40)] == [len(x) for x in none]
-
-
-def test_notice_after_a_piece_of_its_tail():
-    """A whole notice counts in full after a heading, whose words stand late in the template."""
-    scanner = Scanner()
-    for label, heading in (("cc-by-4.0", "Creative Commons Attribution 4.0."), ("gpl-3.0", "GNU General Public License, version 3.")):
-        notice = next(t for own, t in licences.TEMPLATES if own == label)
-        got = scanner.scan_text(f"{heading} {notice}".encode())
-        assert label in got[5].split(",") and got[6] == 1.0
 
 
 def test_drawn_images_are_flat(spark):
