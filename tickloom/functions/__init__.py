@@ -1,4 +1,4 @@
-from tickloom.functions.basis import ArrayBasis, Basis, FrameBasis, GroupBasis
+from tickloom.functions.basis import ArrayBasis, Basis, ColumnBasis, FrameBasis, GroupBasis, NotedBasis
 from tickloom.functions.builtin import EPSILON, FUNCTIONS, PARAMETRIC, PLAIN, FunctionRegistry
 
-__all__ = ["ArrayBasis", "Basis", "EPSILON", "FUNCTIONS", "FrameBasis", "FunctionRegistry", "GroupBasis", "PARAMETRIC", "PLAIN"]
+__all__ = ["ArrayBasis", "Basis", "ColumnBasis", "EPSILON", "FUNCTIONS", "FrameBasis", "FunctionRegistry", "GroupBasis", "NotedBasis", "PARAMETRIC", "PLAIN"]

@@ -11,7 +11,10 @@ from tickloom.schema import ORDER
 
 
 class Basis:
-    """first, last, n, total, mean, product, low, high, middle, deviation, variance of a vector of doubles, and an ordered fold over it."""
+    """first, last, n, total, mean, product, low, high, middle, deviation, variance of a vector of doubles, weighted, and an ordered fold over it.
+
+    weighted is the exponential mean of the whole vector with a weight of 2 / (n + 1), from its first value on.
+    """
 
     first: Column
     last: Column
@@ -26,14 +29,47 @@ class Basis:
     variance: Column
     vector: Column
 
+    @property
+    def weighted(self) -> Column:
+        k = F.lit(2.0) / (self.n + 1)
+        return F.aggregate(F.slice(self.vector, 2, F.greatest(F.size(self.vector) - 1, F.lit(0))), self.first, lambda acc, x: k * x + (1 - k) * acc)
+
     def several(self, least: int, value: Column, also: Column | None = None) -> Column:
         """value of vectors of at least that size, if also holds, else 0."""
         condition = self.n >= least
         return F.when(condition if also is None else condition & also, value).otherwise(F.lit(0.0))
 
 
+QUANTITIES = ("first", "n", "total", "mean", "product", "low", "high", "middle", "deviation", "variance", "weighted")
+
+
+class NotedBasis(Basis):
+    """Notes which quantities an expression is made of."""
+
+    def __init__(self):
+        self.used: set[str] = set()
+
+    def __getattribute__(self, name: str):
+        if name in QUANTITIES or name in ("last", "vector"):
+            self.used.add(name)
+            return F.array(F.lit(1.0)) if name == "vector" else F.lit(1) if name == "n" else F.lit(1.0)
+        return super().__getattribute__(name)
+
+
+class ColumnBasis(Basis):
+    """Quantities that lie in columns of their own, as operators/rolling.py makes them."""
+
+    def __init__(self, value: Column, names: tuple[str, ...]):
+        self.last, self.names = value, names
+
+    def __getattribute__(self, name: str):
+        if name in QUANTITIES and name in super().__getattribute__("names"):
+            return F.col(f"__{name}").cast("long") if name == "n" else F.col(f"__{name}")
+        return super().__getattribute__(name)
+
+
 class FrameBasis(Basis):
-    """The last `rows` values of a symbol, at each row: one window specification for all, so one sort."""
+    """The last `rows` values of a symbol, at each row, as window expressions: one specification for all, so one sort. For functions of the vector itself."""
 
     def __init__(self, value: Column, rows: int, keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ORDER):
         self.value = self.last = value

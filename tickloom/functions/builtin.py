@@ -57,12 +57,6 @@ def _compare(f: Callable[[Column, Column], Column]) -> Reducer:
     return lambda b: _flag((b.n >= 2) & f(b.first, b.last))
 
 
-def _weighted(b: Basis) -> Column:
-    """Exponential mean of the whole vector with a weight of 2 / (n + 1), from its first value on."""
-    k = F.lit(2.0) / (b.n + 1)
-    return _or_zero(F.aggregate(F.slice(b.vector, 2, F.greatest(F.size(b.vector) - 1, F.lit(0))), b.first, lambda acc, x: k * x + (1 - k) * acc))
-
-
 PLAIN: dict[str, Reducer] = {
     "mean": lambda b: b.mean,
     "avg": lambda b: b.mean,
@@ -116,7 +110,7 @@ PLAIN: dict[str, Reducer] = {
     "or": lambda b: _flag((b.n > 0) & (b.high > 0.5)),
     "not": lambda b: _flag(b.last <= 0.5),
     "zscore": lambda b: b.several(3, _or_zero((b.last - b.mean) / _sized(b.deviation))),
-    "ema_weight": _weighted,
+    "ema_weight": lambda b: _or_zero(b.weighted),
     "cumulative_return": _change,
 }
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions import ArrayBasis, FrameBasis, GroupBasis
+from tickloom.functions import ArrayBasis, ColumnBasis, FrameBasis, GroupBasis, NotedBasis
 from tickloom.functions.builtin import Reducer
 from tickloom.operators.asof import asof
+from tickloom.operators.rolling import quantities, running
 from tickloom.schema import ORDER, coerce
 
 STREAM = ("symbol", "ts", "seq", "pos", "value")
@@ -31,17 +32,29 @@ def numeric(stream: DataFrame) -> DataFrame:
     return stream if isinstance(kind, T.DoubleType) else stream.withColumn("value", coerce(kind, F.col("value")))
 
 
-def work(stream: DataFrame, reducer: Reducer, rows: int = 1000, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def work(stream: DataFrame, reducer: Reducer, rows: int = 1000) -> DataFrame:
     """Running reduction over the last `rows` values, at every input."""
-    value = reducer(FrameBasis(F.col("value"), rows, keys))
-    return numeric(stream).withColumn("value", value).where("value is not null")
+    found = work_many(stream, {"__reduced": reducer}, rows)
+    return found.select(*(F.col("__reduced").alias("value") if c == "value" else c for c in stream.columns)).where("value is not null")
 
 
-def work_many(stream: DataFrame, reducers: dict[str, Reducer], rows: int = 1000, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Several reductions side by side on one sorted partition, one column each."""
-    basis = FrameBasis(F.col("value"), rows, keys)
-    own = numeric(stream)
-    return own.select(*own.columns, *(f(basis).alias(name) for name, f in reducers.items()))
+def work_many(stream: DataFrame, reducers: dict[str, Reducer], rows: int = 1000) -> DataFrame:
+    """Several reductions side by side, one column each.
+
+    What the reducers are made of comes from one pass in linear time over blocks of each symbol's rows; functions of the last
+    value alone need no pass, and those of the vector itself are window expressions.
+    """
+    own, noted = numeric(stream), NotedBasis()
+    for f in reducers.values():
+        f(noted)
+    if "vector" in noted.used:
+        basis = FrameBasis(F.col("value"), rows)
+    else:
+        names = tuple(sorted(noted.used - {"last"}))
+        if names:
+            own = running(own.where("value is not null"), ("value",), quantities(names, rows), tuple(f"__{n}" for n in names), rows)
+        basis = ColumnBasis(F.col("value"), names)
+    return own.select(*stream.columns, *(f(basis).alias(name) for name, f in reducers.items()))
 
 
 def union_inputs(inputs: list[DataFrame]) -> DataFrame:
@@ -83,10 +96,17 @@ def access_same(trigger: DataFrame, store: DataFrame) -> DataFrame:
     return found.select("symbol", "ts", "seq", "pos", F.col("found").alias("value"))
 
 
+#: Timer rows that one row of spans becomes at once.
+TIMER_RUN = 10_000
+
+
 def _grid(spans: DataFrame, period_ms: int, first: Column) -> DataFrame:
-    """Timer rows from `first` (in milliseconds) on, up to each span's end."""
-    at = F.explode(F.when(first <= F.col("end_ms"), F.sequence(first, F.col("end_ms"), F.lit(period_ms))))
-    return spans.select("symbol", at.alias("at")).select("symbol", F.timestamp_millis("at").cast("timestamp_ntz").alias("ts"), F.lit(LATEST).alias("seq"), F.lit(0).alias("pos"), F.lit(0.0).alias("value"))
+    """Timer rows from `first` (in milliseconds) on, up to each span's end, run by run: a long span is spread over tasks."""
+    step = period_ms * TIMER_RUN
+    runs = spans.select("symbol", "end_ms", F.explode(F.when(first <= F.col("end_ms"), F.sequence(first, F.col("end_ms"), F.lit(step)))).alias("from_ms")).repartition("symbol", "from_ms")
+    upto = F.least(F.col("end_ms"), F.col("from_ms") + F.lit(step - period_ms))
+    at = runs.select("symbol", F.explode(F.sequence("from_ms", upto, F.lit(period_ms).cast("long"))).alias("at"))
+    return at.select("symbol", F.timestamp_millis("at").cast("timestamp_ntz").alias("ts"), F.lit(LATEST).alias("seq"), F.lit(0).alias("pos"), F.lit(0.0).alias("value"))
 
 
 def _spans(stream: DataFrame, by_symbol: bool) -> DataFrame:

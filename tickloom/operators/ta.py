@@ -1,24 +1,28 @@
 """Technical indicators per tick over a symbol's bounded history, and the incremental ones.
 
-Ticks are (symbol, ts, seq, price, volume). All expressions of a suite share a partitioning and an order, so Spark
-shuffles and sorts once. Indicators that aren't there yet are null; strict_nan gives NaN where the value is written
+Ticks are (symbol, ts, seq, price, volume). All indicators of a tick come from one pass over blocks of its symbol's rows, in
+linear time. Indicators that aren't there yet are null; strict_nan gives NaN where the value is written
 before it is defined, and 0 for MACD's signal and histogram during warm-up.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import Config
 from tickloom.functions import EPSILON
+from tickloom.operators.rolling import Compute, Slide, ewm, running, sliding_ema
 from tickloom.schema import ORDER
 
+LIGHT = ("lastPrice", "volume", "openPrice", "highPrice", "lowPrice")
+
+
 def _columns() -> tuple[Column, Column]:
     """Price and volume; not at import, since workers import this module too."""
     return F.col("price"), F.col("volume")
@@ -32,135 +36,136 @@ def _ratio(a: Column, b: Column, condition: Column) -> Column:
     return a / F.when(condition, b)
 
 
-class Frames:
-    """Windows of a suite."""
-
-    def __init__(self, config: Config, keys: tuple[str, ...] = ("symbol",)):
-        self.config = config
-        self.order = Window.partitionBy(*keys).orderBy(*ORDER)
-        self.history = self.last(config.history)
-
-    def last(self, n: int):
-        return self.order.rowsBetween(-(n - 1), 0)
-
-
-def _names(config: Config) -> dict[str, str]:
-    return {"rsi": f"rsi_{config.rsi}", "atr": f"atr_{config.atr}", "momentum": f"momentum_{config.momentum}", "roc": f"roc_{config.momentum}", "volume_avg": f"volume_avg_{config.volume_avg}"}
+def names_of(config: Config) -> tuple[str, ...]:
+    """Indicators that look back on rows, but for the exponential ones."""
+    return (
+        "lastPrice", "openPrice", "highPrice", "lowPrice", "mean", "median", "prevClose", "vwap", *(f"sma_{k}" for k in config.sma), f"rsi_{config.rsi}", "bollinger_upper", "bollinger_lower", "bollinger_middle",
+        f"momentum_{config.momentum}", f"roc_{config.momentum}", f"atr_{config.atr}", "volume", f"volume_avg_{config.volume_avg}", "obv", "volatility_rank",
+    )
+
+
+def exponential_names(config: Config) -> tuple[str, ...]:
+    return (*(f"ema_{n}" for n in config.ema), "macd_line", "macd_signal", "macd_histogram")
+
+
+def _compute(config: Config, names: tuple[str, ...]) -> Compute:
+    """The named indicators, each an array over a run of rows and where it is known."""
+    band, history = config.bollinger, config.history
+
+    def last(x: np.ndarray, k: int):
+        return pd.Series(x).rolling(k, min_periods=1)
+
+    def run(own: dict[str, np.ndarray], start: int, seen: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray | None]]:
+        price, volume = own["price"], own["volume"]
+        slide, n = Slide(price, history, seen, start), np.minimum(seen, history)
+        change = np.diff(price, prepend=np.nan)
+        before = lambda k: np.concatenate([np.full(min(k, len(price)), np.nan), price[: max(len(price) - k, 0)]])
+        mean = lambda x, k: last(x, k).mean().to_numpy()
+        deviation = lambda: np.sqrt(np.maximum(last(price, band).var(ddof=0).to_numpy(), 0.0))
+        ema = lambda k: sliding_ema(price, 2.0 / (k + 1), history)
+
+        def bollinger(width: float):
+            return mean(price, band) + width * deviation(), n >= max(band, 2)
+
+        def vwap():
+            traded = last(volume, history).sum().to_numpy()
+            some = (n >= 2) & (traded > 0) & (last(volume, history).max().to_numpy() > 0)
+            return last(price * volume, history).sum().to_numpy() / np.where(some, traded, 1.0), some
+
+        def rsi():
+            gain, loss = (mean(np.where(np.isnan(change), np.nan, np.maximum(sign * change, 0.0)), config.rsi) for sign in (1, -1))
+            return 100.0 - 100.0 / (1.0 + gain / np.maximum(loss, EPSILON)), n >= config.rsi + 1
+
+        def roc():
+            back = before(config.momentum)
+            some = (n >= config.momentum + 1) & (np.abs(back) > EPSILON)
+            return 100.0 * (price - back) / np.where(some, back, 1.0), some
+
+        def rank():
+            level = np.abs(slide.mean)
+            some = (n >= max(band, 2)) & (level != 0)
+            return np.minimum(deviation() / np.where(some, level, 1.0), 1.0), some
+
+        def line():
+            return ema(config.macd_fast) - ema(config.macd_slow), seen >= max(config.macd_slow, 2)
+
+        def signal():
+            """The exponential mean of the last values of the line, from the first of them on: a fixed weighted sum."""
+            k, (value, some) = 2.0 / (config.macd_signal + 1), line()
+            weights = [k * (1 - k) ** i for i in range(config.macd_signal - 1)] + [(1 - k) ** (config.macd_signal - 1)]
+            value = pd.Series(np.where(some, value, np.nan))
+            out = sum(w * value.shift(i) for i, w in enumerate(weights)).to_numpy()
+            return out, ~np.isnan(out)
+
+        def histogram():
+            (value, _), (average, some) = line(), signal()
+            return value - average, some
+
+        made = {
+            "lastPrice": lambda: (price, None),
+            "openPrice": lambda: (slide.first, None),
+            "highPrice": lambda: (slide.high, None),
+            "lowPrice": lambda: (slide.low, None),
+            "mean": lambda: (slide.mean, None),
+            "median": lambda: (slide.middle, None),
+            "prevClose": lambda: (before(1), seen >= 2),
+            "vwap": vwap,
+            **{f"sma_{k}": lambda k=k: (mean(price, k), n >= max(k, 2)) for k in config.sma},
+            f"rsi_{config.rsi}": rsi,
+            "bollinger_upper": lambda: bollinger(config.band_width),
+            "bollinger_lower": lambda: bollinger(-config.band_width),
+            "bollinger_middle": lambda: (mean(price, band), n >= max(band, 2)),
+            f"momentum_{config.momentum}": lambda: (price - before(config.momentum), n >= config.momentum + 1),
+            f"roc_{config.momentum}": roc,
+            f"atr_{config.atr}": lambda: (mean(np.abs(change), config.atr), n >= config.atr + 1),
+            "volume": lambda: (volume, None if names == LIGHT else n >= 2),
+            f"volume_avg_{config.volume_avg}": lambda: (mean(volume, config.volume_avg), n >= max(config.volume_avg, 2)),
+            # The oldest retained tick has no predecessor in the history, so it adds nothing.
+            "obv": lambda: (last(np.sign(np.nan_to_num(change)) * volume, max(history - 1, 1)).sum().to_numpy(), n >= 2),
+            "volatility_rank": rank,
+            **{f"ema_{k}": lambda k=k: (ema(k), seen >= max(k, 2)) for k in config.ema},
+            "macd_line": line,
+            "macd_signal": signal,
+            "macd_histogram": histogram,
+        }
+        with np.errstate(all="ignore"):
+            return {name: made[name]() for name in names}
+
+    return run
+
+
+def indicators(ticks: DataFrame, config: Config, names: tuple[str, ...], target: int = 200_000, bucket_seconds: int = 3600) -> DataFrame:
+    """(symbol, ts, seq, pos) and the named indicators of each tick with a price."""
+    P, Q = _columns()
+    rows = _positions(ticks).where("price is not null").select("symbol", *ORDER, P.cast("double").alias("price"), F.coalesce(Q.cast("double"), F.lit(0.0)).alias("volume") if "volume" in ticks.columns else F.lit(0.0).alias("volume"))
+    inner = tuple(f"__{n}" for n in names)
+    compute = _compute(config, names)
 
+    def named(own: dict[str, np.ndarray], start: int, seen: np.ndarray) -> dict:
+        return {f"__{k}": v for k, v in compute(own, start, seen).items()}
 
-def window_suite(config: Config, keys: tuple[str, ...] = ("symbol",)) -> dict[str, Column]:
-    """Indicators that are expressions over windows, by key; they need columns delta (price less the one before) and n (ticks in the history)."""
-    P, Q = _columns()
-    f, names = Frames(config, keys), _names(config)
-    n, delta = F.col("n"), F.col("delta")
-    enough = lambda k, c: F.when(n >= k, c)
-    over = lambda c, rows: c.over(f.last(rows))
-    band, width = config.bollinger, config.band_width
-    middle, deviation = over(F.avg(P), band), over(F.stddev_pop(P), band)
-    gain, loss = over(F.avg(F.greatest(delta, F.lit(0.0))), config.rsi), over(F.avg(F.greatest(-delta, F.lit(0.0))), config.rsi)
-    mean, traded = F.avg(P).over(f.history), F.sum(Q).over(f.history)
-    back = F.lag("price", config.momentum).over(f.order)
-    signed = F.signum(F.coalesce(delta, F.lit(0.0))) * Q
-    out = {
-        "lastPrice": P,
-        "openPrice": F.first("price").over(f.history),
-        "highPrice": F.max("price").over(f.history),
-        "lowPrice": F.min("price").over(f.history),
-        "mean": mean,
-        "median": F.percentile("price", 0.5).over(f.history),
-        "prevClose": F.lag("price", 1).over(f.order),
-        "vwap": enough(2, _ratio(F.sum(P * Q).over(f.history), traded, traded > 0)),
-        **{f"sma_{k}": enough(max(k, 2), over(F.avg(P), k)) for k in config.sma},
-        names["rsi"]: enough(config.rsi + 1, 100.0 - 100.0 / (1.0 + gain / F.greatest(loss, F.lit(EPSILON)))),
-        "bollinger_upper": enough(max(band, 2), middle + width * deviation),
-        "bollinger_lower": enough(max(band, 2), middle - width * deviation),
-        "bollinger_middle": enough(max(band, 2), middle),
-        names["momentum"]: enough(config.momentum + 1, P - back),
-        names["roc"]: enough(config.momentum + 1, 100.0 * _ratio(P - back, back, F.abs(back) > EPSILON)),
-        names["atr"]: enough(config.atr + 1, over(F.avg(F.abs(delta)), config.atr)),
-        "volume": enough(2, Q),
-        names["volume_avg"]: enough(max(config.volume_avg, 2), over(F.avg(Q), config.volume_avg)),
-        # The oldest retained tick has no predecessor in the history, so it adds nothing.
-        "obv": enough(2, F.sum(signed).over(f.order.rowsBetween(-max(config.history - 2, 0), 0))),
-        "volatility_rank": enough(max(band, 2), F.least(_ratio(deviation, F.abs(mean), mean != 0), F.lit(1.0))),
-    }
-    return out
-
-
-def prepared(ticks: DataFrame, config: Config, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Ticks with delta and n, on the suite's partitioning."""
-    P, Q = _columns()
-    f = Frames(config, keys)
-    return _positions(ticks).where("price is not null").withColumns({"volume": F.coalesce(Q, F.lit(0.0)), "delta": P - F.lag("price", 1).over(f.order), "n": F.count(F.lit(1)).over(f.history)})
+    found = running(rows, ("price", "volume"), named, inner, config.history + config.macd_signal + 1, target, bucket_seconds)
+    return found.select("symbol", *ORDER, *(F.col(i).alias(n) for i, n in zip(inner, names, strict=True)))
 
 
-def suite(ticks: DataFrame, config: Config = Config(), keys: tuple[str, ...] = ("symbol",), only: tuple[str, ...] | None = None) -> DataFrame:
-    """(keys, ts, seq, pos, extra columns of blocks) and an indicator each: all but the exponential ones, or those named."""
-    rows = prepared(ticks, config, keys)
-    own = {k: c for k, c in window_suite(config, keys).items() if only is None or k in only}
-    extra = [c for c in ("block", "halo") if c in rows.columns]
-    return rows.select("symbol", *ORDER, *extra, *(c.alias(k) for k, c in own.items()))
+def suite(ticks: DataFrame, config: Config = Config(), only: tuple[str, ...] | None = None) -> DataFrame:
+    """(symbol, ts, seq, pos) and an indicator each: all but the exponential ones, or those named."""
+    return indicators(ticks, config, tuple(n for n in names_of(config) if only is None or n in only))
 
 
 def light(ticks: DataFrame, config: Config = Config()) -> DataFrame:
     """What is known per tick when indicators are off: last price, volume, and the history's open, high and low."""
-    P, Q = _columns()
-    f = Frames(config)
-    rows = _positions(ticks).where("price is not null")
-    return rows.select("symbol", *ORDER, P.alias("lastPrice"), F.coalesce(Q, F.lit(0.0)).alias("volume"), F.first("price").over(f.history).alias("openPrice"), F.max("price").over(f.history).alias("highPrice"), F.min("price").over(f.history).alias("lowPrice"))
-
-
-def sliding_ema(prices: pd.Series, period: int, history: int) -> pd.Series:
-    """Exponential mean with k = 2 / (period + 1), seeded at the oldest tick of the sliding history.
-
-    With E the mean seeded at the first row, the one seeded at row lo is E_i + (1 - k)^(i - lo) (x_lo - E_lo): linear time.
-    """
-    k = 2.0 / (period + 1)
-    full = prices.ewm(alpha=k, adjust=False).mean()
-    if len(prices) <= history:
-        return full
-    gap = (prices - full).shift(history - 1).fillna(0.0)  # of each row's oldest tick, lo = i - history + 1
-    return full + (1.0 - k) ** (history - 1) * gap
+    return indicators(ticks, config, LIGHT)
 
 
 def exponential(ticks: DataFrame, config: Config = Config(), target: int = 200_000, bucket_seconds: int = 3600) -> DataFrame:
-    """ema_N, macd_line, macd_signal and macd_histogram per tick, in blocks of a symbol's sequence with their halo, so memory is bounded by a block.
-
-    A signal is the exponential mean of the last MACD values, seeded at the first of them: a fixed weighted sum.
-    """
-    from tickloom.operators.blocks import with_blocks
-
-    fast, slow, signal, history = config.macd_fast, config.macd_slow, config.macd_signal, config.history
-    k = 2.0 / (signal + 1)
-    weights = [k * (1 - k) ** i for i in range(signal - 1)] + [(1 - k) ** (signal - 1)]
-    names = [f"ema_{n}" for n in config.ema] + ["macd_line", "macd_signal", "macd_histogram"]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(ORDER), ignore_index=True)
-        first = int(group["first"].iloc[0])  # a symbol's first block starts at its first tick
-        seen = pd.Series(range(1, len(group) + 1)) + (0 if first else history)
-        out = group[["symbol", *ORDER]].copy()
-        for n in config.ema:
-            out[f"ema_{n}"] = sliding_ema(group["price"], n, history).where(seen >= max(n, 2))
-        line = (sliding_ema(group["price"], fast, history) - sliding_ema(group["price"], slow, history)).where(seen >= max(slow, 2))
-        out["macd_line"] = line
-        out["macd_signal"] = sum(w * line.shift(i) for i, w in enumerate(weights))
-        out["macd_histogram"] = line - out["macd_signal"]
-        return out[~group["halo"]]
-
-    reach = history + signal
-    rows = with_blocks(_positions(ticks).where("price is not null").select("symbol", *ORDER, "price"), reach, target, bucket_seconds)
-    rows = rows.withColumn("first", F.when(F.col("block") == 0, 1).otherwise(0))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("symbol", *ORDER)) + ", " + ", ".join(f"{n} double" for n in names)
-    return rows.groupBy("symbol", "block").applyInPandas(run, schema)
+    """ema_N, macd_line, macd_signal and macd_histogram per tick."""
+    return indicators(ticks, config, exponential_names(config), target, bucket_seconds)
 
 
 def full_suite(ticks: DataFrame, config: Config = Config()) -> DataFrame:
-    """Every indicator of a tick as a column."""
-    if not config.ta_enabled:
-        return light(ticks, config)
-    return suite(ticks, config).join(exponential(ticks, config), ["symbol", *ORDER])
+    """Every indicator of a tick as a column, in one pass."""
+    return indicators(ticks, config, (*names_of(config), *exponential_names(config))) if config.ta_enabled else light(ticks, config)
 
 
 def strict_nan(indicators: DataFrame, config: Config = Config()) -> DataFrame:
@@ -180,16 +185,16 @@ def strict_nan(indicators: DataFrame, config: Config = Config()) -> DataFrame:
 def last_n(ticks: DataFrame, n: int) -> DataFrame:
     """Means, extremes, deviation, median and vwap of the last n ticks; null before there are so many."""
     P, Q = _columns()
-    f = Frames(Config(history=n))
-    rows = prepared(ticks, f.config)
-    over, full = f.last(n), F.col("n") >= n
-    traded = F.sum(Q).over(over)
+    order = Window.partitionBy("symbol").orderBy(*ORDER)
+    over = order.rowsBetween(-(n - 1), 0)
+    rows = _positions(ticks).where("price is not null").withColumn("volume", F.coalesce(Q, F.lit(0.0)))
+    full, traded = F.count(F.lit(1)).over(over) >= n, F.sum(Q).over(over)
     own = {"sma": F.avg(P), "min": F.min(P), "max": F.max(P), "stddev": F.stddev_pop(P), "median": F.percentile(P, 0.5)}
     return rows.select("symbol", *ORDER, *(F.when(full, c.over(over)).alias(f"px_{k}_{n}") for k, c in own.items()), F.when(full, _ratio(F.sum(P * Q).over(over), traded, traded > 0)).alias(f"px_vwap_{n}"))
 
 
 def _by_symbol(ticks: DataFrame, names: list[str], step) -> DataFrame:
-    """Unbounded recurrences: a symbol's rows stream through in order, with its state alone in memory."""
+    """Unbounded recurrences: a symbol's rows stream through in order, a batch at once, with its state alone in memory."""
     rows = _positions(ticks).where("price is not null").select("symbol", *ORDER, "price")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     dealt = rows.repartition("symbol").sortWithinPartitions("symbol", *ORDER)
@@ -217,18 +222,20 @@ def ema_mean_seeded(ticks: DataFrame, n: int) -> DataFrame:
     """Exponential mean that starts as the plain mean of the first n prices."""
     k = 2.0 / (n + 1)
 
-    def step(prices, state):
-        out = []
-        for x in prices:
-            seed = state.setdefault("seed", [])
-            if "ema" in state:
-                state["ema"] += k * (x - state["ema"])
-            else:
-                seed.append(x)
-                if len(seed) == n:
-                    state["ema"] = math.fsum(seed) / n
-            out.append(state.get("ema"))
-        return [out]
+    def step(prices: np.ndarray, state: dict) -> list[np.ndarray]:
+        out = np.full(len(prices), np.nan)
+        at = 0
+        if "ema" not in state:
+            seed = np.concatenate([state.get("seed", np.zeros(0)), prices[: n - len(state.get("seed", ()))]])
+            at = len(seed) - len(state.get("seed", ()))
+            state["seed"] = seed
+            if len(seed) == n:
+                state["ema"] = seed.mean()
+                out[at - 1] = state["ema"]
+        if "ema" in state and at < len(prices):
+            out[at:] = ewm(np.append(state["ema"], prices[at:]), k)[1:]
+            state["ema"] = out[-1]
+        return [pd.array(out, "Float64").to_numpy(dtype=object, na_value=None) if np.isnan(out).any() else out]
 
     return _by_symbol(ticks, [f"px_ema_{n}"], step)
 
@@ -236,20 +243,14 @@ def ema_mean_seeded(ticks: DataFrame, n: int) -> DataFrame:
 def rsi_wilder(ticks: DataFrame, n: int) -> DataFrame:
     """Relative strength with Wilder's smoothing of gains and losses, both from 0; known after n changes."""
 
-    def step(prices, state):
-        out = []
-        for x in prices:
-            value = None
-            if "last" in state:
-                change = x - state["last"]
-                state["gain"] = (state.get("gain", 0.0) * (n - 1) + max(change, 0.0)) / n
-                state["loss"] = (state.get("loss", 0.0) * (n - 1) + max(-change, 0.0)) / n
-                state["seen"] = state.get("seen", 0) + 1
-                if state["seen"] >= n:
-                    value = 100.0 if state["loss"] <= 0 else 100.0 - 100.0 / (1.0 + state["gain"] / state["loss"])
-            state["last"] = x
-            out.append(value)
-        return [out]
+    def step(prices: np.ndarray, state: dict) -> list[np.ndarray]:
+        change = np.diff(prices, prepend=state.get("last", prices[0]))
+        gain, loss = (ewm(np.append(state.get(k, 0.0), np.maximum(sign * change, 0.0)), 1.0 / n)[1:] for k, sign in (("gain", 1), ("loss", -1)))
+        seen = state.get("seen", -1) + 1 + np.arange(len(prices))  # changes up to each price; a first price has none
+        state.update(last=prices[-1], gain=gain[-1], loss=loss[-1], seen=int(seen[-1]))
+        with np.errstate(all="ignore"):
+            value = np.where(loss <= 0, 100.0, 100.0 - 100.0 / (1.0 + gain / loss))
+        return [np.where(seen >= n, value, None)]
 
     return _by_symbol(ticks, [f"px_rsi_{n}"], step)
 
@@ -262,16 +263,11 @@ def store_field(ticks: DataFrame, name: str, config: Config = Config()) -> DataF
     """(symbol, ts, seq, value): how an indicator or payload field stood after each tick; rows without a value are left out."""
     if name in ticks.columns:
         out = ticks.select("symbol", "ts", "seq", F.col(name).cast("double").alias("value"))
-    elif name.startswith(("ema_", "macd_")):
-        period = int(name[4:]) if name.startswith("ema_") and name[4:].isdigit() else None
-        wide = Config(**{**{k: getattr(config, k) for k in ("history", "macd_fast", "macd_slow", "macd_signal")}, **({"ema": (period,)} if period else {})})
-        out = exponential(ticks, wide).select("symbol", "ts", "seq", F.col(name).alias("value"))
     else:
         own = with_period(name, config)
-        found = suite(ticks, own, only=(name,))
-        if name not in found.columns:
+        if name not in (*names_of(own), *exponential_names(own)):
             raise KeyError(f"unknown field {name!r}")
-        out = found.select("symbol", "ts", "seq", F.col(name).alias("value"))
+        out = indicators(ticks, own, (name,)).select("symbol", "ts", "seq", F.col(name).alias("value"))
     return out.where("value is not null")
 
 
@@ -284,6 +280,6 @@ def with_period(name: str, config: Config) -> Config:
         field = {"rsi": "rsi", "atr": "atr", "momentum": "momentum", "roc": "momentum", "volume_avg": "volume_avg"}.get(kind)
         if field:
             return replace(config, **{field: int(number)})
-        if kind == "sma":
-            return replace(config, sma=(int(number),))
+        if kind in ("sma", "ema"):
+            return replace(config, **{kind: (int(number),)})
     return config

@@ -133,12 +133,12 @@ def worker_scale(spark, sf_dir):
     return nodes.work(nodes.listen(ticks(spark, sf_dir), "price"), FUNCTIONS.resolve("scale", {"factor": 2.5})).select("symbol", "seq", rounded(F.col("value")).alias("value"))
 
 
-_PLAINLY = [n for n in PLAIN if n not in ("ema_weight", "median", "pow")]
+_PLAINLY = list(PLAIN)
 
 
-@query(f"WITH {TICKS}, f AS (SELECT symbol, seq, drift AS x, first_value(drift) OVER w AS fst, count(*) OVER w AS n, sum(drift) OVER w AS total, avg(drift) OVER w AS mean, product(drift) OVER w AS prod, min(drift) OVER w AS lo, max(drift) OVER w AS hi, stddev_pop(drift) OVER w AS sd, var_pop(drift) OVER w AS vr FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq {ROWS})) SELECT symbol, seq, " + ", ".join(f'{r("(" + FUNCTION_SQL[n] + ")")} AS "fn_{n}"' for n in _PLAINLY) + " FROM f")
+@query(f"WITH {TICKS}, f AS (SELECT symbol, seq, drift AS x, median(drift) OVER w AS med, list(drift) OVER w AS vec, first_value(drift) OVER w AS fst, count(*) OVER w AS n, sum(drift) OVER w AS total, avg(drift) OVER w AS mean, product(drift) OVER w AS prod, min(drift) OVER w AS lo, max(drift) OVER w AS hi, stddev_pop(drift) OVER w AS sd, var_pop(drift) OVER w AS vr FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq {ROWS})) SELECT symbol, seq, " + ", ".join(f'{r("(" + FUNCTION_SQL[n] + ")")} AS "fn_{n}"' for n in _PLAINLY) + " FROM f")
 def field_atomics(spark, sf_dir):
-    """All functions that need no vector, of one field, on one sort."""
+    """All functions of one field, in one pass."""
     found = nodes.work_many(nodes.listen(ticks(spark, sf_dir), "drift"), {f"fn_{n}": PLAIN[n] for n in _PLAINLY})
     return found.select("symbol", "seq", *(rounded(F.col(f"fn_{n}")).alias(f"fn_{n}") for n in _PLAINLY))
 
