@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from helpers import T0, same
+from helpers import T0, mean, same
 from pyspark.sql import functions as F
 
 from tickloom.operators import book, obkeys, replay
@@ -102,25 +102,74 @@ def test_snapshots_replace(spark):
     assert [r["order_id"] for r in got] == [2]
 
 
+LEVELS = [("bid", 57, 4, 2), ("bid", 55, 9, 1), ("bid", 52, 3, 3), ("bid", 41, 12, 4), ("ask", 60, 8, 2), ("ask", 61, 5, 5), ("ask", 66, 21, 7)]
+
+
 @pytest.fixture(scope="module")
 def ladder(spark):
-    rows = [("bid", 100, 10, 3), ("bid", 99, 20, 5), ("bid", 98, 30, 7), ("ask", 101, 15, 4), ("ask", 102, 25, 6), ("ask", 103, 35, 8)]
-    levels = spark.createDataFrame([("A", s, p * 10_000, float(p), float(z), float(o), float(p * z)) for s, p, z, o in rows], "symbol string, side string, price_ticks long, price double, size double, orders double, notional double")
+    levels = spark.createDataFrame([("A", s, p * 10_000, float(p), float(z), float(o), float(p * z)) for s, p, z, o in LEVELS], "symbol string, side string, price_ticks long, price double, size double, orders double, notional double")
     return book.ladder(levels)
 
 
-KNOWN = {
-    "ob.spread": 1, "ob.mid": 100.5, "ob.best.bid.price": 100, "ob.best.ask.size": 15, "ob.cum.bid.levels.2.size": 30, "ob.cum.bid.levels.3.notional": 5920, "ob.cum.bid.levels.9.size": 60, "ob.vwap.bid.levels.1-2": 2980 / 30,
-    "ob.vwap.ask.price.101-102": 4065 / 40, "ob.range.bid.levels.1-3.sum.size": 60, "ob.range.bid.levels.1-3.avg.size": 20, "ob.range.bid.levels.1-3.min.size": 10, "ob.range.bid.levels.1-3.max.orders": 7, "ob.range.ask.price.101-102.sum.size": 40,
-    "ob.range.bid.levels.1-3.count": 3, "ob.range.bid.price.1-2.sum.size": 0, "ob.range.bid.levels.7-9.sum.size": None, "ob.imbalance.levels.1-2": -10 / 70, "ob.imbalance.levels.3": -15 / 135, "ob.imbalance.price.99-101": 1 / 3, "ob.imbalance.price.1-2": 0,
-    "ob.level.ask.2.orders": 6, "ob.level.ask.9.size": None, "ob.at.bid.99.notional": 1980, "ob.at.bid.99p5.size": None, "ob.meta.levels.bid": 3, "ob.level.bid.1.orders.agg": None,
-}
+def by_hand(key, levels):
+    """A key's value from the levels (side, price, size, orders), by loops over them."""
+    parts = key.split(".")[1:]
+    mode = parts.pop() if parts[-1] == "agg" else "per"
+    side = lambda s: sorted((x for x in levels if x[0] == s), key=lambda x: -x[1] if s == "bid" else x[1])
+    number = lambda t: float(t.replace("p", "."))
+    attribute = lambda x, name: None if name == "orders" and mode == "agg" else {"price": x[1], "size": x[2], "orders": x[3], "notional": x[1] * x[2]}[name]
+
+    def chosen(s, by, span):
+        low, _, high = span.partition("-")
+        low, high = (number(low), number(high)) if high else (1, number(low))
+        return [x for k, x in enumerate(side(s), 1) if low <= (k if by == "levels" else x[1]) <= high]
+
+    match parts:
+        case ["spread"]:
+            return side("ask")[0][1] - side("bid")[0][1]
+        case ["mid"]:
+            return (side("ask")[0][1] + side("bid")[0][1]) / 2
+        case ["best", s, name]:
+            return attribute(side(s)[0], name)
+        case ["level", s, n, name]:
+            return attribute(side(s)[int(n) - 1], name) if int(n) <= len(side(s)) else None
+        case ["at", s, price, name]:
+            return next((attribute(x, name) for x in side(s) if x[1] == number(price)), None)
+        case ["cum", s, "levels", n, name]:
+            return sum(attribute(x, name) for x in chosen(s, "levels", n))
+        case ["range", s, by, span, "count"]:
+            return len(chosen(s, by, span))
+        case ["range", s, by, span, how, name]:
+            values = [attribute(x, name) for x in chosen(s, by, span)]
+            return {"sum": sum, "avg": mean, "min": min, "max": max}[how](values) if values else (0 if by == "price" else None)
+        case ["vwap", s, by, span]:
+            return sum(x[1] * x[2] for x in chosen(s, by, span)) / sum(x[2] for x in chosen(s, by, span))
+        case ["imbalance", by, span]:
+            bid, ask = (sum(x[2] for x in chosen(s, by, span)) for s in ("bid", "ask"))
+            return (bid - ask) / (bid + ask) if bid + ask else 0
+        case ["meta", "levels", s]:
+            return len(side(s))
+
+
+KEYS = (
+    *obkeys.profile(2), "ob.cum.bid.levels.3.notional", "ob.cum.ask.levels.9.size", "ob.vwap.bid.levels.2-4", "ob.vwap.ask.price.60-61", *(f"ob.range.bid.levels.2-4.{how}.{name}" for how in ("sum", "avg", "min", "max") for name in ("size", "orders")),
+    "ob.range.ask.price.60-63.sum.size", "ob.range.bid.levels.1-3.count", "ob.range.bid.price.1-2.sum.size", "ob.range.bid.levels.7-9.sum.size", "ob.imbalance.levels.2-3", "ob.imbalance.price.55-60", "ob.imbalance.price.1-2", "ob.level.ask.2.orders",
+    "ob.level.ask.9.size", "ob.at.bid.55.notional", "ob.at.bid.55p5.size", "ob.meta.levels.bid", "ob.level.bid.1.orders.agg",
+)
 
 
 def test_metrics(ladder):
-    got = obkeys.evaluate(ladder, tuple(KNOWN)).first().asDict()
-    for key, want in KNOWN.items():
+    """Every metric by expressions over the ladder, and of a replay's book, is what loops over the levels say."""
+    got = obkeys.evaluate(ladder, KEYS).first().asDict()
+    own = replay.Book()
+    for k, (side, price, size, orders) in enumerate(LEVELS):
+        for n in range(orders):
+            own.add((0, 0, 100 * k + n + 1), side, price, size - (orders - 1) if n == 0 else 1)
+    for key in KEYS:
+        want = by_hand(key, LEVELS)
         assert same(got[key.replace(".", "_").replace("-", "_")], want), key
+        if "p5" not in key:
+            assert same(obkeys.value_of(obkeys.parse(key), own, 1.0), want), key
 
 
 def test_empty_side(spark, ladder):
@@ -129,7 +178,7 @@ def test_empty_side(spark, ladder):
 
 
 def test_grammar():
-    for text in [*KNOWN, *obkeys.PROFILE, "ob.meta.seq", "ob.meta.is_stale"]:
+    for text in [*KEYS, *obkeys.profile(), "ob.meta.seq", "ob.meta.is_stale"]:
         key = obkeys.parse(text)
         assert obkeys.parse(obkeys.format_key(key)) == key, text
     assert obkeys.parse("ob..spread.per") == obkeys.parse("ob.spread")
@@ -141,14 +190,14 @@ def test_grammar():
 
 def test_snapshot_arrays(ladder):
     row = book.snapshot(ladder).first()
-    assert [x["price"] for x in row["bids"]] == [100, 99, 98] and [x["size"] for x in row["asks"]] == [15, 25, 35]
+    assert [x["price"] for x in row["bids"]] == [57, 55, 52, 41] and [x["size"] for x in row["asks"]] == [8, 5, 21]
     top = book.top(ladder).first()
-    assert (top["bid"], top["bid_size"], top["ask"], top["ask_size"]) == (100, 10, 101, 15)
+    assert (top["bid"], top["bid_size"], top["ask"], top["ask_size"]) == (57, 4, 60, 8)
 
 
 def test_strict_ranges(ladder):
-    keys = ("ob.range.bid.levels.1-3.min.size", "ob.range.bid.levels.1-3.count", "ob.range.ask.price.101-102.max.size", "ob.range.ask.price.101-102.count", "ob.range.ask.price.101-102.avg.size")
-    assert tuple(obkeys.evaluate(ladder, keys, strict=True).first())[1:] == (60.0, 0.0, 0.0, 0.0, 20.0)
+    keys = ("ob.range.bid.levels.1-3.min.size", "ob.range.bid.levels.1-3.count", "ob.range.ask.price.60-61.max.size", "ob.range.ask.price.60-61.count", "ob.range.ask.price.60-61.avg.size")
+    assert tuple(obkeys.evaluate(ladder, keys, strict=True).first())[1:] == (16.0, 0.0, 0.0, 0.0, 6.5)
 
 
 def test_venue_keys(spark):
@@ -156,3 +205,26 @@ def test_venue_keys(spark):
     events_ = spark.createDataFrame([("A", "v", T0, 2, None), ("A", "v", T0, 6, None), ("A", "w", T0, 6, None), ("A", "v", T0, 7, 3)], "symbol string, venue_key string, ts timestamp_ntz, seq long, order_id long")
     got = sorted((r["seq"], r["venue_key"], r["order_id"]) for r in book.resolve_venue_keys(events_, names).collect())
     assert got == [(2, "v", 7), (6, "v", 8), (6, "w", None), (7, "v", 3)]
+
+
+def test_replay_after_a_reset(spark):
+    """A stale book takes a snapshot, of orders or levels, and goes on from there; a gap makes it stale."""
+    add = lambda i, **x: {"kind": "add", "order_id": i, "side": "bid", "price": float(10 + i), "size": 5} | x
+    rows = [add(1), {"kind": "reset", "epoch": 1}, add(2), add(3, kind="snapshot", seq=4), add(4, kind="snapshot", seq=4), add(5, kind="snapshot_level", seq=4, side="ask", price=20.0), add(6, seq=5), add(7, seq=7), add(8, seq=8)]
+    own = book.quantised(events(spark, rows), tick_size=1.0)
+    for sequenced, alive in ((False, {13, 14, 16, 17, 18}), (True, {13, 14, 16})):
+        changes = replay.replay(own, sequenced)
+        last = changes.groupBy("side", "price_ticks").agg(F.max_by("total", "number").alias("total")).where("total > 0").collect()
+        assert {(r["side"], r["price_ticks"]) for r in last} == {("bid", p) for p in alive} | {("ask", 20)}
+        count = replay.counters(own, sequenced).first()
+        assert (count["resets"], count["snapshots"], count["gaps"], count["ignored_stale"]) == (1, 1, int(sequenced), 3 if sequenced else 1)
+    stale = [(r["seq"], r["value"]) for r in replay.key_values(own, ("ob.meta.is_stale",), 1.0, True).orderBy("seq").collect()]
+    assert (2, 1.0) in stale and stale[-1] == (7, 1.0) and (5, 0.0) in stale
+
+
+def test_dump():
+    own = replay.Book()
+    own.add((0, 0, 1), "bid", 9, 5)
+    own.add((0, 0, 2), "ask", 11, 3)
+    own.summary("ask", 12, 4)
+    assert own.dump() == [("ask", 12, 4, 0), ("ask", 11, 3, 1), ("bid", 9, 5, 1)]

@@ -100,6 +100,40 @@ def test_custom_nodes_and_providers(spark):
         own.parser.register("Worker")
 
 
+def test_accessors_below_a_split_read_each_symbol(spark):
+    own = Compiler(Catalog(ticks(spark, [("A", 1.0, 1.0), ("B", 7.0, 1.0), ("A", 3.0, 1.0), ("B", 9.0, 1.0)])))
+    tree = {"type": "Aggregate", "arity": 1, "inputs": [{"type": "Listener", "streamKey": s, "field": "lastPrice"} for s in "AB"]}
+    split = {"type": "GroupSplit", "child": {"type": "AtomicAccessor", "field": "lastPrice"}}
+    found = own.chain((own.parser.node(tree, "A"), own.parser.node(split, "A")), None, "A")
+    assert [(r["symbol"], r["value"]) for r in found.orderBy("ts", "seq", "pos").collect()] == [("A", 1), ("B", 7), ("A", 3), ("B", 9)]
+
+
+def test_inputs_may_be_chains_and_splits(spark):
+    own = Compiler(Catalog(ticks(spark, [("A", 1.0, 1.0), ("A", 3.0, 1.0)])))
+    listener = {"type": "Listener", "streamKey": "A", "field": "lastPrice"}
+    chain = {"type": "Chain", "stages": [listener, {"type": "Worker", "fn": "scale", "factor": 10}]}
+    split = {"type": "Chain", "stages": [listener, {"type": "GroupSplit", "child": {"type": "Worker", "fn": "sum"}}]}
+    found = own.tree({"type": "Aggregate", "arity": 2, "inputs": [chain, split]}, "A")
+    assert [r["value"] for r in found.orderBy("ts", "seq", "pos").collect()] == [10, 1, 30, 4]
+
+
+def test_a_wrapped_timer_is_a_source(spark):
+    own = Compiler(Catalog(ticks(spark, [("A", float(k), 1.0) for k in range(5)])))
+    timer = {"type": "Interval", "periodMs": 1000, "child": {"type": "AtomicAccessor", "field": "lastPrice"}}
+    spec = {"key": 1, "streamKey": "A", "field": "lastPrice", "pipeline": [{"type": "Worker", "fn": "last"}]}
+    plain, wrapped = (sorted(r["value"] for r in own.compile(spec | {"node": node}).collect()) for node in (timer, {"type": "Chain", "stages": [timer]}))
+    assert plain == wrapped and len(plain) == 9
+
+
+def test_unknown_fields_and_bad_texts_are_request_errors(spark):
+    own = Compiler(Catalog(ticks(spark, [("A", 1.0, 1.0)])))
+    for field in ("ob.spread", "nothing", "fn.price.nope", "fn.nothing.sum"):
+        with pytest.raises(RequestError):
+            run(own, pipeline=[{"type": "AtomicAccessor", "field": field}])
+    with pytest.raises(RequestError):
+        own.parser.request("{broken")
+
+
 @pytest.mark.parametrize(
     "spec,where",
     [

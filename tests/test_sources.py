@@ -77,6 +77,9 @@ def test_itch(spark):
         (9, "AAPL", "update", 4, "ask", None, 50, None), (10, "AAPL", "delete", 4, "ask", None, None, None),
         (12, "AAPL", "trade", None, None, 1.0, 5, "buy"), (12, "AAPL", "tick", None, None, 1.0, 5, None),
     ]
+    gone = [message(seq=1, type="add_order", stock="A", order_ref=1, side="B", shares=5, price=1.0), message(seq=2, type="order_delete", order_ref=1), message(seq=3, type="order_replace", orig_ref=1, order_ref=2, shares=5, price=2.0), message(seq=4, type="order_replace", orig_ref=2, order_ref=3, shares=5, price=2.0)]
+    got = itch.events(spark.createDataFrame(gone, itch.MESSAGE)).select("seq", "kind", "order_id").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "add", 1), (2, "delete", 1)]  # what replaces an order that is gone does nothing
     text = lines(spark, ['{"type":"add_order","stock":"A ","orderRef":5,"side":"B","shares":3,"price":"1.25"}'])
     assert itch.parse(text).select("stock", "order_ref", "price").first() == ("A", 5, 1.25)
 

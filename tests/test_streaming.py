@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from helpers import ORACLE, T0, same
+from helpers import ORACLE, T0, same, ticks
 from pyspark.sql import functions as F
 
 from tickloom.config import Config
@@ -94,3 +94,9 @@ def test_session(spark, folder, rows, tmp_path):
     assert own.handle("no")[0]["where"] == "parse" and own.handle("{}")[0]["where"] == "type"
     own.handle('{"type":"subscribe","requests":[]}')
     assert own.handle('{"type":"subscribe","requests":[]}')[0]["where"] == "rate"
+
+
+def test_a_bad_cancel_is_answered(spark):
+    session = Session(Compiler(Catalog(ticks(spark, [("A", 1.0, 1.0)]))))
+    for message in ('{"type":"cancel","keys":5}', '{"type":"cancel","ids":[[1]]}'):
+        assert session.handle(message)[0]["where"] == "cancel"

@@ -56,7 +56,13 @@ def levels(orders: DataFrame) -> DataFrame:
 
 
 def level_updates(events: DataFrame) -> DataFrame:
-    """Aggregated books: the last summary of each (symbol, side, price) from the last snapshot on; size 0 removes the level."""
+    """Aggregated books: the last summary of each (symbol, side, price); size 0 removes the level.
+
+    If events have a kind, those of kind snapshot_level that share a seq replace the book: only what comes from the last of them on counts.
+    """
+    if "kind" in events.columns:
+        last = events.where("kind = 'snapshot_level'").groupBy("symbol").agg(F.max("seq").alias("from_seq"))
+        events = events.join(last, "symbol", "left").where("from_seq is null or seq >= from_seq").drop("from_seq")
     last = events.groupBy("symbol", "side", "price_ticks").agg(F.max_by("size", "seq").alias("size"), F.max_by("price", "seq").alias("price"))
     return last.where("size > 0").select("symbol", "side", "price_ticks", "price", F.col("size").cast("double").alias("size"), F.lit(None).cast("double").alias("orders"), (F.col("price") * F.col("size")).alias("notional"))
 
@@ -152,6 +158,12 @@ def faults(orders: DataFrame, book_levels: DataFrame) -> DataFrame:
     return both.where("own is null or size is null or own <> size or size <= 0")
 
 
+def meta(events: DataFrame) -> DataFrame:
+    """(symbol, seq, epoch, is_stale, last_change_ms) after all events: stale if a reset came after the last snapshot."""
+    last = lambda kind: F.coalesce(F.max(F.when(F.col("kind").startswith(kind), F.col("seq"))), F.lit(-1))
+    return events.groupBy("symbol").agg(F.max("seq").alias("seq"), F.max("epoch").alias("epoch"), (last("reset") > last("snapshot")).cast("int").alias("is_stale"), F.unix_millis(F.max("ts").cast("timestamp")).alias("last_change_ms"))
+
+
 def stats(events: DataFrame) -> DataFrame:
     """Counts of events by symbol and kind."""
     return events.groupBy("symbol", "kind").agg(F.count(F.lit(1)).alias("n"))

@@ -15,8 +15,8 @@ from tickloom.operators import nodes, ta
 from tickloom.plans.rewrite import rewrite
 from tickloom.plans.tree import Accessor, Aggregate, Custom, Fused, Listener, Node, Parser, Request, RequestError, Timer, Tumbling, Vector, Worker
 
-#: From (symbol, key) to (ts, seq, value).
-Provider = Callable[[str, str], DataFrame]
+#: From (symbol or None for all, key) to (symbol, ts, seq, value).
+Provider = Callable[[str | None, str], DataFrame]
 #: From (upstream or None, spec, default symbol) to a stream.
 Builder = Callable[[DataFrame | None, dict, str], DataFrame]
 
@@ -36,16 +36,27 @@ class Catalog:
     def of(self, symbol: str | None) -> DataFrame:
         return self.ticks if symbol is None else self.ticks.where(F.col("symbol") == symbol)
 
-    def store(self, symbol: str, name: str) -> DataFrame:
-        """(symbol, ts, seq, value): what the store held under a name, after each tick: a field, an indicator, fn.<field>.<function>, or a provider's key."""
+    def store(self, symbol: str | None, name: str) -> DataFrame:
+        """(symbol, ts, seq, value): what the store held under a name, after each tick: a field, an indicator, fn.<field>.<function>, or a provider's key.
+
+        Without a symbol it is that of every one. A name that nothing is kept under raises RequestError.
+        """
+        try:
+            return self._store(symbol, name)
+        except (KeyError, ValueError) as e:
+            raise e if isinstance(e, RequestError) else RequestError("build", str(e.args[0] if e.args else e)) from None
+
+    def _store(self, symbol: str | None, name: str) -> DataFrame:
         if name in self.fields:
             name = self.fields[name]
         space = name.partition(".")[0]
         if name.startswith("fn."):
-            _, own, fn = name.split(".", 2)
+            own, _, fn = name[3:].partition(".")
+            if self.fields.get(own, own) not in self.ticks.columns:
+                raise KeyError(f"unknown field {own!r}")
             return nodes.work(nodes.listen(self.ticks, self.fields.get(own, own), symbol), self.functions.resolve(fn, plain_only=True), self.config.history).drop("pos")
         if space in self.providers and "." in name:
-            return self.providers[space](symbol, name).select(F.lit(symbol).alias("symbol"), "ts", "seq", "value")
+            return self.providers[space](symbol, name).select((F.col("symbol") if symbol is None else F.lit(symbol)).alias("symbol"), "ts", "seq", "value")
         return ta.store_field(self.of(symbol), name, self.config)
 
 
@@ -73,7 +84,7 @@ class Compiler:
             own = self.listener(node)
             return own if upstream is None else nodes.union_inputs([own, upstream])
         if isinstance(node, Aggregate):
-            return nodes.batch([self.stage(x, None, symbol) for x in node.inputs], node.arity)
+            return nodes.batch([self.chain((x,), None, symbol) for x in node.inputs], node.arity)
         if isinstance(node, Timer):
             source = nodes.bucket_time if node.aligned else nodes.interval
             ticks = source(c.of(symbol), node.period_ms)
@@ -85,6 +96,8 @@ class Compiler:
         if isinstance(node, Worker):
             return nodes.work(upstream, c.functions.resolve(node.fn, dict(node.parameters)), c.config.history)
         if isinstance(node, Accessor):
+            if node.each:
+                return nodes.access_same(upstream, c.store(None, node.field))
             own = node.symbol or symbol
             return nodes.access(upstream, c.store(own, node.field), own)
         if isinstance(node, Tumbling):
@@ -106,7 +119,7 @@ class Compiler:
         if request.node is not None and request.pipeline:
             if compose:
                 return self.chain((request.node, *request.pipeline), head, request.symbol)
-            sources = isinstance(request.node, (Aggregate, Timer))
+            sources = isinstance(rewrite((request.node,))[0], (Aggregate, Timer))  # however it is wrapped
             piped = self.chain(request.pipeline, head, request.symbol)
             return nodes.union_inputs([nodes.numeric(self.chain((request.node,), None, request.symbol)), nodes.numeric(piped)]) if sources else piped
         return self.chain((request.node,) if request.node is not None else request.pipeline, head, request.symbol)

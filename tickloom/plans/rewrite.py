@@ -6,7 +6,7 @@ from tickloom.plans.tree import Chain, Fused, Node, Split, Tumbling, Vector, Wor
 
 
 def flatten(stages: tuple[Node, ...]) -> tuple[Node, ...]:
-    """Chains are their stages; a split by symbol is its child, since every operator keeps symbols apart."""
+    """Chains are their stages; a split by symbol is its child, since every operator keeps symbols apart, and accessors below it know that they read each value's."""
     out: list[Node] = []
     for node in stages:
         if isinstance(node, Chain):

@@ -46,8 +46,11 @@ class Aggregate(Node):
 
 @dataclass(frozen=True)
 class Accessor(Node):
+    """each: reads under the symbol of every value, as below a split by symbol."""
+
     field: str
     symbol: str | None = None
+    each: bool = False
 
 
 @dataclass(frozen=True)
@@ -77,13 +80,6 @@ class Fused(Node):
     fn: str
 
 
-@dataclass(frozen=True)
-class Workers(Node):
-    """Scale factors folded to one, or other rewritten runs."""
-
-    factor: float
-
-
 @dataclass(frozen=True)
 class Split(Node):
     child: Node
@@ -170,8 +166,8 @@ class Parser:
             raise RequestError("build", f"unknown function {fn!r}")
         return fn
 
-    def node(self, spec, symbol: str | None) -> Node:
-        """symbol: the stream key that nodes without one of their own take."""
+    def node(self, spec, symbol: str | None, each: bool = False) -> Node:
+        """symbol: the stream key that nodes without one of their own take; with each it is that of the value that arrives."""
         if not isinstance(spec, dict) or not isinstance(spec.get("type"), str):
             raise RequestError("build", "a node must be an object with a type")
         kind = spec["type"]
@@ -191,30 +187,34 @@ class Parser:
                 raise RequestError("build", "arity must be a positive integer")
             if not isinstance(inputs, list) or not inputs:
                 raise RequestError("build", "Aggregate needs inputs")
-            return Aggregate(arity, tuple(self.node(x, symbol) for x in inputs))
+            return Aggregate(arity, tuple(self.node(x, symbol, each) for x in inputs))
         if kind == "AtomicAccessor":
-            return Accessor(_text(spec, "field", MAX_FIELD), own)
+            return Accessor(_text(spec, "field", MAX_FIELD), own, each and own is None)
         if kind in ("Interval", "BucketTime"):
             child = spec.get("child")
-            return Timer(_period(spec), kind == "BucketTime", None if child is None else self.node(child, symbol))
+            return Timer(_period(spec), kind == "BucketTime", None if child is None else self.node(child, symbol, each))
         if kind == "TumblingWindow":
             return Tumbling(_period(spec))
         if kind == "VectorReducer":
             return Vector(self._function(spec, plain_only=True))
         if kind in ("GroupSplit", "SymbolSplit"):
-            return Split(self.node(spec.get("child"), symbol))
+            return Split(self.node(spec.get("child"), None, True))
         if kind == "Chain":
             stages = spec.get("stages")
             if not isinstance(stages, list) or not stages:
                 raise RequestError("build", "Chain needs stages")
-            return Chain(tuple(self.node(x, symbol) for x in stages))
+            return Chain(tuple(self.node(x, symbol, each) for x in stages))
         if kind in self.custom:
             return Custom(kind, json.dumps(spec, sort_keys=True))
         raise RequestError("build", f"unknown node type {kind!r}")
 
     def request(self, spec: dict | str) -> Request:
         """A subscribe request: streamKey (or symbol), field, and a node, a pipeline or stages; of the last two, pipeline wins."""
-        spec = json.loads(spec) if isinstance(spec, str) else spec
+        if isinstance(spec, str):
+            try:
+                spec = json.loads(spec)
+            except ValueError:
+                raise RequestError("validate", "a request must be JSON") from None
         if not isinstance(spec, dict):
             raise RequestError("validate", "a request must be an object")
         check_json(spec)

@@ -221,6 +221,23 @@ def groupsplit_mean(spark, sf_dir):
     return own.chain((node,), nodes.listen(own.catalog.ticks, "price"), "").select("symbol", "seq", rounded(F.col("value")).alias("value"))
 
 
+@query(f"WITH {TICKS}, f AS (SELECT symbol, seq, avg(price) OVER w AS value, count(*) OVER w AS n FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT symbol, seq, {r('value')} AS value FROM f WHERE n >= 5")
+def groupsplit_accessor(spark, sf_dir):
+    """Below a split an accessor reads under the symbol of each value."""
+    own = Compiler(Catalog(ticks(spark, sf_dir)))
+    node = own.parser.node({"type": "GroupSplit", "child": {"type": "AtomicAccessor", "field": "sma_5"}}, "view")
+    return own.chain((node,), nodes.listen(own.catalog.ticks, "price"), "view").select("symbol", "seq", rounded(F.col("value")).alias("value"))
+
+
+@query(f"WITH {TICKS}, v AS (SELECT seq, price * 2 AS value, 0 AS pos FROM t WHERE symbol = 'view' UNION ALL SELECT seq, price, 1 FROM t WHERE symbol = 'view') SELECT 'view' AS symbol, seq, CAST(pos AS INTEGER) AS pos, {r('value')} AS value FROM v")
+def aggregate_nested(spark, sf_dir):
+    """An input of an aggregate may be any node, chains included."""
+    listener = {"type": "Listener", "streamKey": "view", "field": "lastPrice"}
+    chain = {"type": "Chain", "stages": [listener, {"type": "Worker", "fn": "scale", "factor": 2}]}
+    found = Compiler(Catalog(ticks(spark, sf_dir))).tree({"type": "Aggregate", "arity": 2, "inputs": [chain, listener]}, "view")
+    return found.select("symbol", "seq", "pos", rounded(F.col("value")).alias("value"))
+
+
 @query(f"WITH {TICKS} SELECT symbol, {r('price * 6')} AS value FROM t WHERE symbol = 'click'")
 def chain_last_scale(spark, sf_dir):
     stages = [{"type": "Worker", "fn": "last"}, {"type": "Worker", "fn": "scale", "factor": 2}, {"type": "Worker", "fn": "scale", "factor": 3}]
@@ -497,6 +514,64 @@ def book_replay(spark, sf_dir):
     return last.where("total > 0").select("symbol", "side", F.col("price_ticks").alias("price"), "total")
 
 
+_FULL = """e AS (SELECT o_orderpriority AS symbol, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k, o_custkey, o_totalprice FROM orders),
+    g AS (SELECT *, k + k // 450 AS seq, CASE WHEN k % 200 = 0 THEN 'snapshot' WHEN k % 331 = 150 THEN 'reset' WHEN k % 10 = 3 THEN 'trade' ELSE 'add' END AS kind FROM e),
+    i AS (SELECT *, sum(CASE WHEN kind = 'snapshot' THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY k ROWS UNBOUNDED PRECEDING) AS island FROM g),
+    p AS (SELECT *, lag(seq) OVER (PARTITION BY symbol, island ORDER BY k) AS prev, max(island) OVER (PARTITION BY symbol) AS last_island FROM i),
+    s AS (SELECT *, max(CASE WHEN kind = 'reset' OR (kind <> 'snapshot' AND prev IS NOT NULL AND seq <> prev + 1) THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, island ORDER BY k ROWS UNBOUNDED PRECEDING) AS stale FROM p),
+    c AS (SELECT symbol, CASE WHEN kind = 'add' AND k % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, CASE WHEN kind = 'add' THEN floor(o_totalprice / 10000) + CASE WHEN k % 2 = 0 THEN 1 ELSE 101 END ELSE 500 END AS price,
+          CASE kind WHEN 'add' THEN 1 + o_custkey % 100 WHEN 'snapshot' THEN 100000 ELSE -1 END AS size FROM s WHERE stale = 0 AND island = last_island AND (kind <> 'trade' OR island > 0))"""
+
+
+@query(f"WITH {_FULL} SELECT symbol, side, CAST(price AS BIGINT) AS price, CAST(sum(size) AS BIGINT) AS total FROM c GROUP BY ALL HAVING sum(size) > 0")
+def book_replay_full(spark, sf_dir):
+    """Adds and trades in turn, with resets and gaps, after which a book is stale, and snapshots, which replace it."""
+    from pyspark.sql import Window
+
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("k", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")).cast("long"))
+    k, none = F.col("k"), F.lit(None)
+    kind = F.when(k % 200 == 0, "snapshot").when(k % 331 == 150, "reset").when(k % 10 == 3, "trade").otherwise("add")
+    add, bid = F.col("kind") == "add", k % 2 == 0
+    price = F.when(add, F.floor(F.col("o_totalprice") / 10000) + F.when(bid, 1).otherwise(101)).otherwise(500).cast("double")
+    size = F.when(add, 1 + F.col("o_custkey") % 100).when(F.col("kind") == "snapshot", 100_000).otherwise(1).cast("long")
+    events = rows.withColumn("kind", kind).select(
+        F.col("o_orderpriority").alias("symbol"), F.timestamp_seconds(k).cast("timestamp_ntz").alias("ts"), (k + F.floor(k / 450)).alias("seq"), "kind", F.lit(0).alias("feed_id"), F.lit(0).alias("epoch"), (k + 1).alias("order_id"), F.when(add & bid, "bid").otherwise("ask").alias("side"),
+        price.alias("price"), size.alias("size"), none.cast("long").alias("priority"), F.when(F.col("kind") == "trade", "buy").alias("aggressor"), none.cast("double").alias("tick_size"),
+    )
+    changes = replay.replay(book.quantised(events, tick_size=1.0), sequenced=True)
+    last = changes.groupBy("symbol", "side", "price_ticks").agg(F.max_by("total", "number").alias("total"))
+    return last.where("total > 0").select("symbol", "side", F.col("price_ticks").alias("price"), "total")
+
+
+#: A book that grows with the ticks of one symbol: half bids, half asks above them.
+_GROWING = "a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, floor(o_totalprice / 1000) + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 501 END AS price, 1 + o_custkey % 100 AS size FROM orders WHERE o_orderpriority = '1-URGENT')"
+
+
+def _accessed(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """An ob key at each tick of a symbol, by a request."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    bid, none = F.col("o_orderkey") % 2 == 0, F.lit(None)
+    at = {"symbol": F.col("o_orderpriority"), "ts": F.timestamp_seconds("o_orderkey").cast("timestamp_ntz"), "seq": F.col("o_orderkey")}
+    events = o.select(
+        *(c.alias(k) for k, c in at.items()), F.lit("add").alias("kind"), F.lit(0).alias("feed_id"), F.lit(0).alias("epoch"), (F.col("o_orderkey") + 1).alias("order_id"), F.when(bid, "bid").otherwise("ask").alias("side"),
+        (F.floor(F.col("o_totalprice") / 1000) + F.when(bid, 1).otherwise(501)).cast("double").alias("price"), (1 + F.col("o_custkey") % 100).cast("long").alias("size"), none.cast("string").alias("aggressor"),
+    )
+    catalog = Catalog(o.select(*(c.alias(k) for k, c in at.items()), F.col("o_totalprice").alias("price"), F.lit(1.0).alias("volume")))
+    catalog.providers["ob"] = replay.provider(book.quantised(events, tick_size=1.0), tick_size=1.0)
+    found = Compiler(catalog).compile({"key": 1, "streamKey": "1-URGENT", "field": "lastPrice", "pipeline": [{"type": "AtomicAccessor", "field": key}]})
+    return found.select("symbol", seconds().alias("at"), rounded(F.col("value")).alias("value"))
+
+
+@query(f"WITH {_GROWING}, f AS (SELECT k, min(price) FILTER (side = 'ask') OVER w - max(price) FILTER (side = 'bid') OVER w AS value FROM a WINDOW w AS (ORDER BY k ROWS UNBOUNDED PRECEDING)) SELECT '1-URGENT' AS symbol, k AS at, {r('value')} AS value FROM f WHERE value IS NOT NULL")
+def accessor_ob_spread(spark, sf_dir):
+    return _accessed(spark, sf_dir, "ob.spread")
+
+
+@query(f"WITH {_GROWING}, j AS (SELECT t.k, b.price, sum(b.size) AS size FROM a AS t JOIN a AS b ON b.side = 'bid' AND b.k <= t.k GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY price DESC) AS lvl FROM j), c AS (SELECT k, CAST(sum(size) AS DOUBLE) AS value FROM n WHERE lvl <= 5 GROUP BY k) SELECT '1-URGENT' AS symbol, a.k AS at, {r('coalesce(c.value, 0)')} AS value FROM a LEFT JOIN c USING (k)")
+def accessor_ob_cum(spark, sf_dir):
+    return _accessed(spark, sf_dir, "ob.cum.bid.levels.5.size")
+
+
 def _ob(name: str, keys: dict[str, str]) -> None:
     """A query of ob keys and its SQL: an aggregate over ld for each."""
     columns = {k: k.replace(".", "_").replace("-", "_") for k in keys}
@@ -533,11 +608,10 @@ _ob("ob_profile", {
 })
 
 
-@query(f"WITH {LEVELS}, m AS (SELECT o_orderpriority AS symbol, max(o_orderkey + CASE o_orderstatus WHEN 'F' THEN 1000000000 WHEN 'P' THEN 2000000000 ELSE 0 END) AS seq FROM orders GROUP BY 1) SELECT m.symbol, CAST(m.seq AS DOUBLE) AS ob_meta_seq, 0.0 AS ob_meta_epoch, CAST(count(*) FILTER (side = 'bid') AS DOUBLE) AS ob_meta_levels_bid, CAST(count(*) FILTER (side = 'ask') AS DOUBLE) AS ob_meta_levels_ask FROM m LEFT JOIN ld USING (symbol) GROUP BY m.symbol, m.seq")
+@query(f"WITH {LEVELS}, m AS (SELECT o_orderpriority AS symbol, max(o_orderkey + CASE o_orderstatus WHEN 'F' THEN 1000000000 WHEN 'P' THEN 2000000000 ELSE 0 END) AS seq, epoch_ms(max(CAST(o_orderdate AS TIMESTAMP))) AS ms FROM orders GROUP BY 1) SELECT m.symbol, CAST(m.seq AS DOUBLE) AS ob_meta_seq, 0.0 AS ob_meta_epoch, 0.0 AS ob_meta_is_stale, CAST(m.ms AS DOUBLE) AS ob_meta_last_change_ms, CAST(count(*) FILTER (side = 'bid') AS DOUBLE) AS ob_meta_levels_bid, CAST(count(*) FILTER (side = 'ask') AS DOUBLE) AS ob_meta_levels_ask FROM m LEFT JOIN ld USING (symbol) GROUP BY m.symbol, m.seq, m.ms")
 def ob_meta(spark, sf_dir):
-    events = book_stream(spark, sf_dir)
-    meta = events.groupBy("symbol").agg(F.max("seq").alias("seq"), F.max("epoch").alias("epoch"), F.lit(0).alias("is_stale"), F.unix_millis(F.max("ts").cast("timestamp")).alias("last_change_ms"))
-    return obkeys.evaluate(ladder(spark, sf_dir), ("ob.meta.seq", "ob.meta.epoch", "ob.meta.levels.bid", "ob.meta.levels.ask"), meta=meta)
+    keys = tuple(f"ob.meta.{k}" for k in obkeys.META)
+    return obkeys.evaluate(ladder(spark, sf_dir), keys, meta=book.meta(book_stream(spark, sf_dir)))
 
 
 _ITCH = """b AS (SELECT o_orderkey AS id, 'S' || (o_orderkey % 3) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, floor(o_totalprice / 1000) + 1 AS price, 10 + o_custkey % 50 AS s,
@@ -565,6 +639,38 @@ def itch_events(spark, sf_dir):
     return itch.events(messages).select("symbol", "order_id", "kind", "side", "price", "size")
 
 
+_REPLACED = """b AS (SELECT o_orderkey AS id, 'S' || (o_orderkey % 3) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, floor(o_totalprice / 1000) + 1 AS p, 10 + o_custkey % 50 AS s FROM orders)"""
+
+
+@query(f"""WITH {_REPLACED} SELECT symbol, id AS order_id, 'add' AS kind, side, CAST(p AS DOUBLE) AS price, CAST(s AS BIGINT) AS size FROM b
+    UNION ALL SELECT 'S' || i, NULL, 'ticksize', NULL, 0.01, NULL FROM range(3) AS t(i)
+    UNION ALL SELECT symbol, id, 'delete', side, NULL, NULL FROM b WHERE id % 8 IN (0, 4)
+    UNION ALL SELECT symbol, id + 10000000, 'add', side, p + 2, 7 FROM b WHERE id % 8 = 4
+    UNION ALL SELECT symbol, id + 10000000, 'update', side, NULL, 5 FROM b WHERE id % 16 = 4 UNION ALL SELECT symbol, id + 10000000, 'trade', side, p + 2, 2 FROM b WHERE id % 16 = 4 UNION ALL SELECT symbol, id + 10000000, 'tick', NULL, p + 2, 2 FROM b WHERE id % 16 = 4
+    UNION ALL SELECT symbol, id + 10000000, 'delete', side, NULL, NULL FROM b WHERE id % 12 = 0 AND id % 8 = 4 UNION ALL SELECT symbol, id + 20000000, 'add', side, p + 3, 9 FROM b WHERE id % 12 = 0 AND id % 8 = 4""")
+def itch_replace(spark, sf_dir):
+    """JSON lines with locate codes and prices as strings: orders replaced once or twice, and replacements of orders that are gone, which do nothing."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    i, price = F.col("o_orderkey"), F.floor(F.col("o_totalprice") / 1000)
+
+    def lines(own: DataFrame, later: int, **members: Column) -> DataFrame:
+        return own.select((i + later).alias("seq"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.to_json(F.struct(*(c.alias(k) for k, c in members.items()))).alias("line"))
+
+    text = lambda c: c.cast("double").cast("string")
+    kind = lambda k: F.lit(k)
+    directory = spark.range(3).select((F.col("id") - 3).alias("seq"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.to_json(F.struct(kind("stock_directory").alias("type"), F.concat(F.lit("S"), F.col("id").cast("string"), F.lit("   ")).alias("stock"), F.col("id").alias("stockLocate"))).alias("line"))
+    parts = [
+        lines(o, 0, type=kind("add_order"), stockLocate=i % 3, orderRef=i, side=F.when(i % 2 == 0, "B").otherwise("S"), shares=10 + F.col("o_custkey") % 50, price=text(price + 1)),
+        lines(o.where(i % 8 == 0), 1_000_000_000, type=kind("order_delete"), orderRef=i),
+        lines(o.where(i % 4 == 0), 2_000_000_000, type=kind("order_replace"), origOrderRef=i, orderRef=i + 10_000_000, shares=F.lit(7), price=text(price + 3)),
+        lines(o.where(i % 16 == 4), 3_000_000_000, type=kind("order_executed"), orderRef=i + 10_000_000, shares=F.lit(2)),
+        lines(o.where(i % 12 == 0), 4_000_000_000, type=kind("order_replace"), origOrderRef=i + 10_000_000, orderRef=i + 20_000_000, shares=F.lit(9), price=text(price + 4)),
+    ]
+    for part in parts:
+        directory = directory.unionByName(part)
+    return itch.events(itch.parse(directory)).select("symbol", "order_id", "kind", "side", "price", "size")
+
+
 def full_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every indicator of every tick, for the bench."""
     return ta.full_suite(ticks(spark, sf_dir))

@@ -5,9 +5,13 @@ Messages: seq, ts, type, stock, stock_locate, order_ref, orig_ref, side, shares,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.durable import written
+
 MESSAGE = "seq long, ts timestamp_ntz, type string, stock string, stock_locate int, order_ref long, orig_ref long, side string, shares long, price double"
 #: The tick size that a directory message stands for.
 TICK_SIZE = 0.01
@@ -28,36 +32,49 @@ def named(messages: DataFrame) -> DataFrame:
     return messages.join(directory, "stock_locate", "left").withColumn("stock", F.coalesce(F.trim("stock"), "listed")).drop("listed")
 
 
+#: More shares than any order has.
+ALL_SHARES = 1 << 40
+
+
+def _lives(orders: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows of orders (adds) and of the changes to them, with what was resting before and after each; what finds no live order is dropped."""
+    stocks = orders.select("ref", F.col("stock").alias("of_stock"), F.col("side").alias("of_side")).dropDuplicates(["ref"])
+    later = changes.join(stocks, "ref").withColumns({"stock": F.col("of_stock"), "side": F.col("of_side")}).drop("of_stock", "of_side")
+    rows = orders.unionByName(later)
+    order = Window.partitionBy("ref").orderBy("seq", "part")
+    rows = rows.withColumn("life", F.sum(F.when(F.col("action") == "add", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("life > 0")
+    own = Window.partitionBy("ref", "life").orderBy("seq", "part").rowsBetween(Window.unboundedPreceding, 0)
+    mine = F.when(F.col("action").isin("executed", "cancel"), F.col("shares")).when(F.col("action").isin("delete", "replace"), F.lit(ALL_SHARES)).otherwise(0)
+    rows = rows.withColumns({"mine": mine, "added": F.first("shares").over(own), "resting": F.first("price").over(own)}).withColumn("taken", F.sum("mine").over(own))
+    before = F.when(F.col("action") == "add", F.lit(0)).otherwise(F.col("added") - F.col("taken") + F.col("mine"))
+    return rows.withColumn("before", before).withColumn("after", F.greatest(F.col("added") - F.col("taken"), F.lit(0))).where("action = 'add' or before > 0").drop("mine", "taken", "life")
+
+
 def resting(messages: DataFrame) -> DataFrame:
     """Order-related messages with the order they are about: its stock, side, price, and shares left before and after.
 
-    A replacement is two rows: the old order's end, and a new order of its side. Chains of replacements are resolved once
-    per link, on the table of replacements alone. Messages about an order that isn't there, or no longer, are dropped.
+    A replacement is two rows: the old order's end, and a new order of its side, which is there only if the old one was. So replacements are
+    resolved link by link; each round holds the orders that the round before made, and is written before the next. Messages about
+    an order that isn't there, or no longer, are dropped. A reference names one order at a time.
     """
     own = named(messages).where("type in ('add_order', 'add_order_mpid', 'order_executed', 'order_cancel', 'order_delete', 'order_replace')")
-    adds = own.where("type in ('add_order', 'add_order_mpid')").select(F.col("order_ref").alias("ref"), "seq", F.lit(0).alias("part"), "ts", F.lit("add").alias("action"), "stock", F.when(F.col("side").startswith("B"), "bid").otherwise("ask").alias("side"), "shares", "price", F.lit(None).cast("long").alias("from_ref"))
+    none = F.lit(None)
+    side = F.when(F.col("side").startswith("B"), "bid").otherwise("ask")
+    columns = lambda ref, part, action, stock, side, price: [F.col(ref).alias("ref"), "seq", F.lit(part).alias("part"), "ts", action.alias("action"), stock.cast("string").alias("stock"), side.cast("string").alias("side"), "shares", price.cast("double").alias("price")]
+    orders = own.where("type in ('add_order', 'add_order_mpid')").select(*columns("order_ref", 0, F.lit("add"), F.col("stock"), side, F.col("price")))
+    touching = own.where("type in ('order_executed', 'order_cancel', 'order_delete')").select(*columns("order_ref", 0, F.regexp_replace("type", "^order_", ""), none, none, none))
     replaced = own.where("type = 'order_replace'")
-    ends = replaced.select(F.col("orig_ref").alias("ref"), "seq", F.lit(0).alias("part"), "ts", F.lit("delete").alias("action"), F.lit(None).cast("string").alias("stock"), F.lit(None).cast("string").alias("side"), "shares", "price", F.lit(None).cast("long").alias("from_ref"))
-    begins = replaced.select(F.col("order_ref").alias("ref"), "seq", F.lit(1).alias("part"), "ts", F.lit("add").alias("action"), F.lit(None).cast("string").alias("stock"), F.lit(None).cast("string").alias("side"), "shares", "price", F.col("orig_ref").alias("from_ref"))
-    changes = own.where("type in ('order_executed', 'order_cancel', 'order_delete')").select(F.col("order_ref").alias("ref"), "seq", F.lit(0).alias("part"), "ts", F.regexp_replace("type", "^order_", "").alias("action"), F.lit(None).cast("string").alias("stock"), F.lit(None).cast("string").alias("side"), "shares", F.lit(None).cast("double").alias("price"), F.lit(None).cast("long").alias("from_ref"))
-    known = adds.select("ref", "stock", "side")
-    links = begins.select("ref", "from_ref")
-    while not links.isEmpty():
-        found = links.join(known.select(F.col("ref").alias("from_ref"), "stock", "side"), "from_ref").select("ref", "stock", "side")
-        if found.isEmpty():
+    changes = touching.unionByName(replaced.select(*columns("orig_ref", 0, F.lit("replace"), none, none, none)))
+    follow = replaced.select(F.col("orig_ref").alias("ref"), "seq", F.col("order_ref").alias("new_ref"), F.col("shares").alias("new_shares"), F.col("price").alias("new_price"))
+    rounds = []
+    while True:
+        found = written(_lives(orders, changes))
+        rounds.append(found)
+        ended = found.where("action = 'replace'")
+        if ended.isEmpty():
             break
-        known = known.unionByName(found)
-        links = links.join(found, "ref", "left_anti")
-    rows = adds.unionByName(ends).unionByName(begins).unionByName(changes).drop("stock", "side").join(known.dropDuplicates(["ref"]), "ref")
-    order = Window.partitionBy("ref").orderBy("seq", "part")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    life = F.sum(F.when(F.col("action") == "add", 1).otherwise(0)).over(upto)
-    rows = rows.withColumn("life", life).where("life > 0")
-    own_life = Window.partitionBy("ref", "life").orderBy("seq", "part").rowsBetween(Window.unboundedPreceding, 0)
-    taken = F.sum(F.when(F.col("action").isin("executed", "cancel"), F.col("shares")).when(F.col("action") == "delete", F.lit(1 << 40)).otherwise(0)).over(own_life)
-    rows = rows.withColumn("added", F.first("shares").over(own_life)).withColumn("resting", F.first("price").over(own_life)).withColumn("taken", taken)
-    mine = F.when(F.col("action").isin("executed", "cancel"), F.col("shares")).when(F.col("action") == "delete", F.lit(1 << 40)).otherwise(0)
-    return rows.withColumn("before", F.when(F.col("action") == "add", F.lit(0)).otherwise(F.col("added") - F.col("taken") + mine)).withColumn("after", F.greatest(F.col("added") - F.col("taken"), F.lit(0))).where("action = 'add' or before > 0")
+        orders = ended.join(follow, ["ref", "seq"]).select(F.col("new_ref").alias("ref"), "seq", F.lit(1).alias("part"), "ts", F.lit("add").alias("action"), "stock", "side", F.col("new_shares").alias("shares"), F.col("new_price").alias("price"))
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def events(messages: DataFrame) -> DataFrame:

@@ -55,7 +55,10 @@ class Session:
         if kind == "subscribe":
             return self.subscribe(message.get("requests"))
         if kind == "cancel":
-            return self.cancel([*(message.get("keys") or []), *(message.get("ids") or [])])
+            named = [message.get(k) or [] for k in ("keys", "ids")]
+            if not all(isinstance(x, list) and all(isinstance(k, (int, str)) for k in x) for x in named):
+                return [{"type": "error", "where": "cancel", "message": "keys and ids must be arrays of integers or strings"}]
+            return self.cancel([*named[0], *named[1]])
         return [{"type": "error", "where": "type", "message": f"unknown type {kind!r}"}]
 
     def subscribe(self, requests) -> list[dict]:
