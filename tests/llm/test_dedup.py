@@ -189,7 +189,9 @@ def line_truth(rows, lines):
     places = [((i, k), line) for i, t in rows if i is not None and t is not None for k, line in enumerate(t.split("\n")) if line.strip(" \t\v\f\r")]
     texts = sorted({line for _, line in places})
     number = {t: k for k, t in enumerate(texts)}
-    links = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(x := grams(texts[a]) & grams(texts[b])) >= lines.percent * len(grams(texts[a]) | grams(texts[b]))] if len(texts) < 3000 else []
+    own = [grams(t) for t in texts]
+    close = lambda x, y: 100 * min(len(x), len(y)) >= lines.percent * max(len(x), len(y)) and 100 * len(x & y) >= lines.percent * len(x | y)
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if close(own[a], own[b])]
     part = closure(range(len(texts)), links)
     first = {}
     for at, line in sorted(places):

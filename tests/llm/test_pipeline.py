@@ -1,11 +1,14 @@
 """The pipeline's stages on a small table, each against what it should do."""
 
 import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+from test_dedup import line_truth, near_truth
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tickloom.llm import queries
+from tickloom.llm import linededup, queries
 
 
 def test_stages(spark, sf):
@@ -33,3 +36,34 @@ def test_registered():
     assert "pipeline" in own and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in own if k.startswith("op")}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "packing"]
+
+
+def test_run_against_brute_force(spark, sf):
+    """What language id leaves, deduplicated line by line and document by document over all pairs, and counted by the library, is what the pipeline packs."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in corpus_pipeline.language_id(spark, docs, sf).collect()]
+    before = dict(rows)
+    lined = {i: own[0] for i, own in line_truth(rows, linededup.Lines()).items()}
+    lined = {i: t for i, t in lined.items() if t == before[i] or t.strip(" ")}
+    part = near_truth(list(lined.items()))
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in lined.items() if part[i] == i}
+    got = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r["doc_id"]] = r["doc_tokens"]
+    assert got == want and 0 < len(want) < len(rows)
+
+
+@pytest.mark.parametrize("rows", ["odd", "empty"])
+def test_stages_on_odd_rows(spark, sf, request, rows):
+    docs = request.getfixturevalue(rows)
+    docs = docs.withColumns({"lang": F.when(F.col("doc_id") % 3 == 0, "en-US"), "source": F.when(F.col("doc_id") % 2 == 0, "host.example"), "n_chars": F.when(F.col("doc_id") != 4, F.length("text").cast("long"))})
+    before = docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns and after.schema.simpleString() == docs.schema.simpleString()
+        docs = spark.createDataFrame(after.collect(), after.schema)
+        assert docs.count() <= before
+        before = docs.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert (rows == "empty") == (before == 0) and len({r["sequence_id"] for r in packed}) == len(packed)
