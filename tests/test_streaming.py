@@ -11,8 +11,9 @@ from tickloom.config import Config
 from tickloom.functions import PLAIN
 from tickloom.operators import book, nodes, replay, ta
 from tickloom.plans.compile import Catalog, Compiler
+from tickloom.plans.tree import RequestError
 from tickloom.schema import BOOK_EVENT
-from tickloom.streaming import sources, state, windows
+from tickloom.streaming import requests, sources, state, windows
 from tickloom.streaming.session import Bucket, Session
 
 TICK = "symbol string, seq long, ts timestamp, price double, volume double, value double"
@@ -100,3 +101,22 @@ def test_a_bad_cancel_is_answered(spark):
     session = Session(Compiler(Catalog(ticks(spark, [("A", 1.0, 1.0)]))))
     for message in ('{"type":"cancel","keys":5}', '{"type":"cancel","ids":[[1]]}'):
         assert session.handle(message)[0]["where"] == "cancel"
+
+
+def test_requests_run_on_streams(spark, folder, rows, tmp_path):
+    """A request gives the same on a stream of ticks as in batch, value by value."""
+    batch = Compiler(Catalog(spark.createDataFrame(rows, TICK), config=Config(history=10)))
+    for k, pipeline in enumerate(([{"type": "Worker", "fn": "stddev"}, {"type": "Worker", "fn": "scale", "factor": 2}], [{"type": "Worker", "fn": "ema_weight"}], [{"type": "Worker", "fn": "sqrt"}])):
+        spec = {"key": k, "streamKey": "A", "field": "lastPrice", "pipeline": pipeline}
+        got = run(spark, requests.live(batch, spec, sources.parquet_stream(spark, folder, TICK, 1)), tmp_path, f"live{k}")
+        want = batch.compile(spec).collect()
+        by_time = lambda own: {r["ts"].replace(tzinfo=None): r["value"] for r in own}
+        got, want = by_time(got), by_time(want)
+        assert got.keys() == want.keys() and all(same(got[t], want[t]) for t in want)
+    window = {"key": 9, "streamKey": "A", "field": "lastPrice", "pipeline": [{"type": "TumblingWindow", "periodMs": 60000}, {"type": "VectorReducer", "fn": "max"}]}
+    got = {r["ts"].replace(tzinfo=None): r["value"] for r in run(spark, requests.live(batch, window, sources.parquet_stream(spark, folder, TICK, 1)), tmp_path, "live9")}
+    want = {r["ts"]: r["value"] for r in batch.compile(window).collect()}
+    assert got and all(want[t] == v for t, v in got.items())
+    for bad in ([{"type": "TumblingWindow", "periodMs": 60000}, {"type": "VectorReducer", "fn": "max"}, {"type": "Worker", "fn": "sum"}], [{"type": "AtomicAccessor", "field": "lastPrice"}]):
+        with pytest.raises(RequestError):
+            requests.live(batch, window | {"pipeline": bad}, sources.parquet_stream(spark, folder, TICK))

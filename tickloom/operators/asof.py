@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_SECONDS = 86_400
+BUCKET_SECONDS = 3_600
 
 
 def asof(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = (), inclusive: bool = True, bucket_seconds: int = BUCKET_SECONDS, keep_unmatched: bool = False) -> DataFrame:

@@ -41,3 +41,15 @@ def over_blocks(df: DataFrame, reach: int, run: Callable[[DataFrame, tuple[str,
     """
     out = run(with_blocks(df, reach, target, bucket_seconds, key), (key, "block"))
     return out.where("not halo").drop("block", "halo")
+
+
+def numbered(df: DataFrame, order: tuple[str, ...] = ("ts", "seq", "pos"), bucket_seconds: int = 3600, key: str = "symbol", name: str = "n") -> DataFrame:
+    """df with each row's number in its key's order, from 1: counted within time buckets, each of which is a partition, from what the buckets before hold."""
+    bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
+    rows = df.withColumn("__bucket", bucket)
+    counts = rows.groupBy(key, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col(key).alias("__key"), F.col("__bucket").alias("__of"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    own = rows.withColumn(name, F.row_number().over(Window.partitionBy(key, "__bucket").orderBy(*order)))
+    both = own.join(bases, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__bucket") == F.col("__of")))
+    return both.select(*df.columns, (F.col(name) + F.col("__before")).alias(name))

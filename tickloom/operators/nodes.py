@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from tickloom.functions import ArrayBasis, ColumnBasis, FrameBasis, GroupBasis, NotedBasis
 from tickloom.functions.builtin import Reducer
 from tickloom.operators.asof import asof
+from tickloom.operators.blocks import numbered
 from tickloom.operators.rolling import quantities, running
-from tickloom.schema import ORDER, coerce
+from tickloom.schema import coerce
 
 STREAM = ("symbol", "ts", "seq", "pos", "value")
 #: Sequence number of timer rows: after all ticks of the same time.
@@ -68,11 +69,9 @@ def batch(inputs: list[DataFrame], arity: int) -> DataFrame:
     if arity < 1:
         raise ValueError("arity must be positive")
     rows = union_inputs([numeric(s) for s in inputs])
-    order = Window.partitionBy("symbol").orderBy(*ORDER)
-    number = F.row_number().over(order)
-    numbered = rows.withColumn("n", number).withColumn("batch", F.ceil(F.col("n") / F.lit(arity)))
+    placed = numbered(rows).withColumn("batch", F.ceil(F.col("n") / F.lit(arity)))
     own = Window.partitionBy("symbol", "batch").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    whole = numbered.select("symbol", F.last("ts").over(own).alias("ts"), F.last("seq").over(own).alias("seq"), F.count(F.lit(1)).over(own).alias("size"), ((F.col("n") - 1) % arity).cast("int").alias("pos"), "value")
+    whole = placed.select("symbol", F.last("ts").over(own).alias("ts"), F.last("seq").over(own).alias("seq"), F.count(F.lit(1)).over(own).alias("size"), ((F.col("n") - 1) % arity).cast("int").alias("pos"), "value")
     return whole.where(F.col("size") == arity).select(*STREAM)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators import nodes
 from tickloom.plans.compile import Compiler
-from tickloom.plans.tree import RequestError
+from tickloom.plans.tree import Request, RequestError
+from tickloom.streaming.requests import live
 
 
 class Bucket:
@@ -40,6 +41,7 @@ class Session:
         self.compiler, self.bucket = compiler, bucket or Bucket()
         self.active: dict[int | str, DataFrame] = {}
         self.queries: dict[int | str, StreamingQuery] = {}
+        self.requests: dict[int | str, Request] = {}
 
     @staticmethod
     def _named(key: int | str) -> dict:
@@ -72,6 +74,7 @@ class Session:
                 request = self.compiler.parser.request(spec)
                 if len(self.active) >= self.LIMIT and request.key not in self.active:
                     raise RequestError("limit", "too many subscriptions")
+                self.requests[request.key] = request
                 self.active[request.key] = nodes.respond(self.compiler.stream(request), request.key)
                 out.append({"type": "subscribed", **self._named(request.key)})
             except RequestError as e:
@@ -97,6 +100,10 @@ class Session:
         """A request's update frames, as a batch."""
         return nodes.frames(self.active[key])
 
+    def live(self, key: int | str, ticks: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], delay: str = "0 seconds") -> StreamingQuery:
+        """Runs a request on a stream of ticks, its update frames into a sink; cancel() stops it."""
+        return self.start(key, nodes.frames(live(self.compiler, self.requests[key], ticks, delay)), checkpoint, sink)
+
     def start(self, key: int | str, stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
         """Runs a stream for a request into a sink of micro-batches; cancel() stops it."""
         query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
