@@ -19,9 +19,9 @@ WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2
 #: Latin letters, of which every Unicode table says that they are letters, as are their small ones (so not U+0130); ASCII that is no letter, apostrophe or white space.
 LATIN = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x12F), (0x131, 0x24F)))
 MARKS = "!-&(-@\\[-`{-~"
-#: A chunk is never part of a pre-token: words with an apostrophe stay whole, as contractions are pre-tokens; a run of Latin letters
-#: or of ASCII marks stands alone only if what follows surely begins another; all else goes up to white space.
-_WORDS = rf"[^{WHITE}']*'[^{WHITE}]*|[{LATIN}]+(?=[{MARKS}{WHITE}]|\Z)|[{MARKS}]+(?=[{LATIN}{WHITE}]|\Z)|[^{WHITE}]+"
+#: A chunk is never part of a pre-token: a run of Latin letters or of ASCII marks stands alone only if what follows surely begins another, which
+#: an apostrophe doesn't, as contractions are pre-tokens; all else goes up to white space.
+_WORDS = rf"[{LATIN}]+(?=[{MARKS}{WHITE}]|\Z)|[{MARKS}]+(?=[{LATIN}{WHITE}]|\Z)|[^{WHITE}]+"
 WORD = re.compile(_WORDS)
 #: With the one space before it; a run of white space less that space; a lone separator.
 CHUNK = re.compile(rf" ?(?:{_WORDS})|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -123,6 +123,10 @@ def splitter(strings: list[str]) -> Callable[[str], list[str]]:
     return split
 
 
+#: Beyond Latin letters.
+_FAR = re.compile("[^\x00-\u024f]")
+
+
 def lowered(strings: list[str]) -> Callable[[str], list[str]]:
     """Words of a text for a vocabulary that drops white space and folds case; Latin text is folded first, so that fewer words differ.
 
@@ -131,7 +135,7 @@ def lowered(strings: list[str]) -> Callable[[str], list[str]]:
     special = re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
 
     def words(text: str) -> list[str]:
-        return WORD.findall(text.lower() if text.isascii() or max(text) < chr(0x250) else text)
+        return WORD.findall(text.lower() if text.isascii() or not _FAR.search(text) else text)
 
     def split(text: str) -> list[str]:
         if special is None or not special.search(text):
