@@ -154,7 +154,8 @@ class Ids:
     def __init__(self, path: str, drop_white: bool = False):
         strings = added_strings(path)
         self.split = lowered(strings) if drop_white else splitter(strings)
-        self.cache = ChunkCache(encoder(path, " | " if drop_white else "\n"))
+        # Words alone are shorter and more of them differ than chunks with their white space.
+        self.cache = ChunkCache(encoder(path, " | " if drop_white else "\n"), 2 * HALF_CHARS if drop_white else HALF_CHARS)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         for own in groups(texts):
