@@ -12,7 +12,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tickloom.llm import bpesql, packing, tokenbin, tokencount
-from tickloom.llm.chunks import Ids
+from tickloom.llm.chunks import LATIN_WORD, Ids
 from tickloom.llm.tokencount import Merger
 
 JSON, RANKS, WORDS = (P.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
@@ -48,6 +48,19 @@ def test_ids_equal_the_library(base, odd, library):
         assert n == len(library.encode(text, add_special_tokens=False).ids), text[:80]
 
 
+def test_latin_words_equal_the_library():
+    """Words that go to the model at once: every letter, alone and in words, and runs of thousands."""
+    pick = random.Random(4)
+    letters = [chr(c) for c in range(0x41, 0x250) if LATIN_WORD.fullmatch(chr(c))]
+    assert len(letters) > 400
+    own = letters + ["".join(pick.choice(letters) for _ in range(pick.randrange(1, 25))) for _ in range(2000)] + ["a" * 5000, "Straße" * 500, "".join(letters)]
+    own += [" " + w for w in own]
+    for path, drop in ((JSON, False), (WORDS, True)):
+        each = Tokenizer.from_file(path)
+        for text, got in zip(own, Ids(path, drop).encode(own), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == each.encode(text, add_special_tokens=False).ids, text[:80]
+
+
 def test_merger_on_runs():
     m = Merger(JSON)
     library = Tokenizer.from_file(JSON)

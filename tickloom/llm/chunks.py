@@ -25,6 +25,8 @@ _WORDS = rf"[{LATIN}]+(?=[{MARKS}{WHITE}]|\Z)|[{MARKS}]+(?=[{LATIN}{WHITE}]|\Z)|
 WORD = re.compile(_WORDS)
 #: With the one space before it; a run of white space less that space; a lone separator.
 CHUNK = re.compile(rf" ?(?:{_WORDS})|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Chunks that every vocabulary's pattern takes as one pre-token.
+LATIN_WORD = re.compile(f" ?[{LATIN}]+")
 #: Characters of text that are worked on at once, and of chunks in either half of a cache.
 GROUP_CHARS, HALF_CHARS = 1 << 20, 3_000_000
 
@@ -77,24 +79,52 @@ def added_strings(path: str) -> list[str]:
         return sorted((x["content"] for x in json.load(f)["added_tokens"]), key=len, reverse=True)
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte: itself if visible, else the next free one from 256."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
+SPACE = LETTERS[0x20]
+
+
+def byte_level(path: str) -> bool:
+    """Whether the file's model takes pre-tokens as byte letters and nothing is put before a text's first word."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    steps = own["pre_tokenizer"] or {}
+    last = (steps.get("pretokenizers") or [steps])[-1]
+    return own["model"]["type"] == "BPE" and last.get("type") == "ByteLevel" and not last["add_prefix_space"]
+
+
 def encoder(path: str, between: str) -> Callable[[list[str]], Iterable[bytes]]:
     """Of chunks their ids by the tokenizers library, packed as little-endian unsigned 32-bit integers.
 
-    Many chunks go in one call, with `between` between them: a string that is one token and a pre-token of its own. Chunks
-    that hold it, white space and what holds a special string go alone.
+    Latin words go to the library's model at once where they are sure to be one pre-token. Of the rest many chunks go in one call, with
+    `between` between them: a string that is one token and a pre-token of its own. Chunks that hold it, white space and what holds a special string go alone.
     """
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     strings = added_strings(path)
     (mark,) = library.encode(f"a{between}a", add_special_tokens=False).ids[1:-1]
+    direct = LATIN_WORD.fullmatch if byte_level(path) else lambda chunk: None
+    # The library's own attributes are made anew at each access.
+    model, normalizer = library.model, library.normalizer
+
+    def latin(chunk: str) -> bytes:
+        word = normalizer.normalize_str(chunk) if normalizer else chunk
+        letters = word.replace(" ", SPACE) if word.isascii() else word.encode().decode("latin-1").translate(LETTERS)
+        return array("I", [x.id for x in model.tokenize(letters)]).tobytes()
 
     def alone(chunk: str) -> bytes:
         return array("I", library.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def make(chunks: list[str]) -> Iterable[bytes]:
-        out: list[bytes | None] = [None] * len(chunks)
-        plain = [k for k, c in enumerate(chunks) if between.strip(" ") not in c and not c.isspace() and not ("<" in c and any(s in c for s in strings))]
+        out: list[bytes | None] = [latin(c) if direct(c) else None for c in chunks]
+        plain = [k for k, c in enumerate(chunks) if out[k] is None and between.strip(" ") not in c and not c.isspace() and not ("<" in c and any(s in c for s in strings))]
         for a in range(0, len(plain), 2_000):
             own = plain[a : a + 2_000]
             ids = np.array(library.encode_batch_fast([between.join([chunks[k] for k in own])], add_special_tokens=False)[0].ids, "<u4")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tickloom.llm.chunks import ChunkCache, added_strings, groups, splitter
+from tickloom.llm.chunks import ChunkCache, added_strings, byte_letters, groups, splitter
 from tickloom.llm.shared import bounded_batches, hold, texts_of
 
 #: The byte-level split of a text before the merges (a fixed value of the vocabulary).
@@ -24,13 +24,6 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 NONE = np.iinfo(np.int64).max
 
 
-def byte_letters() -> dict[int, str]:
-    """The printable letter that byte-level vocabularies write for each byte: itself if visible, else the next free one from 256."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(visible)]
-    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
 class Merger:
     """The merge table of a byte-level BPE file as sorted arrays."""
 
