@@ -45,3 +45,29 @@ def test_every_engine_query_has_a_twin():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def events_in(folder, rows):
+    """An events table of (event_type, seconds, value) rows in the order of their ids."""
+    own = duckdb.connect()
+    own.execute("CREATE TABLE e (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    own.executemany("INSERT INTO e SELECT $1, TIMESTAMP '2024-01-01' + to_microseconds(CAST($2 AS BIGINT) * 1000000), 1, $3, $4, '{\"k\": 1}'", [(i, t, kind, v) for i, (kind, t, v) in enumerate(rows)])
+    own.execute(f"COPY e TO '{folder}/events.parquet' (FORMAT PARQUET)")
+    own.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    return own
+
+
+def twins(spark, folder, own, name):
+    """Sorted rows of a query and of its SQL."""
+    result = own.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in result.description]
+    got = entry.queries()[name](spark, str(folder)).select(*columns).collect()
+    return sorted((tuple(r) for r in got), key=repr), sorted(result.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("name", ["accessor_asof"])
+def test_values_of_the_same_time_are_known(spark, tmp_path, name):
+    own = events_in(tmp_path, [("error", 0, 1.0), ("view", 0, 2.0), ("purchase", 5, 3.0), ("view", 5, 4.0), ("error", 5, 5.0), ("view", 7000, 6.0), ("purchase", 7000, 7.0), ("error", 7000, 8.0)])
+    got, want = twins(spark, tmp_path, own, name)
+    assert got == want
+    assert len(got) == 2
