@@ -78,3 +78,11 @@ def test_rest_is_nothing_where_the_quotient_rounds_to_a_whole_number(spark, tmp_
     own = events_in(tmp_path, [("click", 0, 210.95), ("click", 1, 51.11), ("view", 0, 489.78), ("view", 1, 89.98)])
     got, want = twins(spark, tmp_path, own, name)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["worker_pow"])
+def test_large_powers_have_every_bit(spark, tmp_path, name):
+    own = events_in(tmp_path, [("click", 0, 1193.63), ("click", 1, 1182.31), ("error", 0, 1173.34), ("error", 1, 1141.93), ("signup", 0, 1174.43), ("signup", 1, 959.76), ("purchase", 0, 1485.75), ("purchase", 1, 1260.97), ("view", 0, 50.0), ("view", 1, 10.0)])
+    got, want = twins(spark, tmp_path, own, name)
+    power = -1 if name == "worker_pow" else [c[0] for c in own.execute(entry.oracle_sql()[name]).description].index("fn_pow")
+    assert [(r[:2], r[power]) for r in got] == [(r[:2], r[power]) for r in want]

@@ -11,9 +11,9 @@ from tickloom.schema import ORDER
 
 
 class Basis:
-    """first, last, n, total, mean, product, low, high, middle, deviation, variance of a vector of doubles, weighted, and an ordered fold over it.
+    """first, last, n, total, mean, product, low, high, middle, deviation, variance of a vector of doubles, power, weighted, and an ordered fold over it.
 
-    weighted is the exponential mean of the whole vector with a weight of 2 / (n + 1), from its first value on.
+    power is the first value to the power of the last. weighted is the exponential mean of the whole vector with a weight of 2 / (n + 1), from its first value on.
     """
 
     first: Column
@@ -29,6 +29,10 @@ class Basis:
     variance: Column
     vector: Column
 
+    @property
+    def power(self) -> Column:
+        return F.pow(self.first, self.last)
+
     @property
     def weighted(self) -> Column:
         k = F.lit(2.0) / (self.n + 1)
@@ -40,7 +44,7 @@ class Basis:
         return F.when(condition if also is None else condition & also, value).otherwise(F.lit(0.0))
 
 
-QUANTITIES = ("first", "n", "total", "mean", "product", "low", "high", "middle", "deviation", "variance", "weighted")
+QUANTITIES = ("first", "n", "total", "mean", "product", "low", "high", "middle", "deviation", "variance", "power", "weighted")
 
 
 class NotedBasis(Basis):

@@ -68,6 +68,8 @@ class Slide:
     middle = cached_property(lambda self: self._exact(self.roll.median().to_numpy(), lambda v: float(np.mean(np.sort(v)[[(len(v) - 1) // 2, len(v) // 2]]))))
     variance = cached_property(lambda self: self._exact(np.maximum(self.roll.var(ddof=0).to_numpy(), 0.0), np.var))
     deviation = cached_property(lambda self: np.sqrt(self.variance))
+    #: By the C library's pow, whose last bit isn't always that of Java's.
+    power = cached_property(lambda self: pc.power(pa.array(self.first), pa.array(self.x)).to_numpy())
 
     @cached_property
     def product(self) -> np.ndarray:
