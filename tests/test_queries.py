@@ -73,14 +73,14 @@ def test_values_of_the_same_time_are_known(spark, tmp_path, name):
     assert len(got) == 2
 
 
-@pytest.mark.parametrize("name", ["worker_mod"])
+@pytest.mark.parametrize("name", ["worker_mod", "field_atomics"])
 def test_rest_is_nothing_where_the_quotient_rounds_to_a_whole_number(spark, tmp_path, name):
     own = events_in(tmp_path, [("click", 0, 210.95), ("click", 1, 51.11), ("view", 0, 489.78), ("view", 1, 89.98)])
     got, want = twins(spark, tmp_path, own, name)
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["worker_pow"])
+@pytest.mark.parametrize("name", ["worker_pow", "field_atomics"])
 def test_large_powers_have_every_bit(spark, tmp_path, name):
     own = events_in(tmp_path, [("click", 0, 1193.63), ("click", 1, 1182.31), ("error", 0, 1173.34), ("error", 1, 1141.93), ("signup", 0, 1174.43), ("signup", 1, 959.76), ("purchase", 0, 1485.75), ("purchase", 1, 1260.97), ("view", 0, 50.0), ("view", 1, 10.0)])
     got, want = twins(spark, tmp_path, own, name)
