@@ -346,3 +346,25 @@ def test_large_buckets_of_unlike_members(spark):
         assert all(any({a, b} <= g for g in groups.values()) for a, b in links)
         size[n] = cut.count(), len(got)
     assert size[12_000][0] <= 2.2 * size[6000][0] and size[12_000][1] <= 2.5 * size[6000][1] <= 6000
+
+
+def test_line_sketches_lose_no_link():
+    """The filter before texts move passes every linked pair, and few of those that are far apart."""
+    pick, lines = random.Random(41), linededup.Lines()
+    texts, far = [], []
+    for i in range(400):
+        a = [pick.choice("abcdefghij ") for _ in range(pick.randrange(6, 300))]
+        b = list(a)
+        for _ in range(pick.choice((0, 1, 2, 3, max(4, len(a) // 10)))):
+            b[pick.randrange(len(b))] = pick.choice("0123456789")
+        texts += ["".join(a), "".join(b)]
+    raw = [t.encode() for t in texts]
+    sets = linededup.line_sets(lines)(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    got = pa.Table.from_batches(linededup.line_sketches(lines)(iter([batch]))).to_pylist()
+    sketches = np.stack([np.frombuffer(r["sketch"], np.uint64) for r in got])
+    passed = linededup.may_link(sketches[::2], sketches[1::2], lines.percent)
+    linked = np.array([lines.linked(a, b) for a, b in zip(sets[::2], sets[1::2], strict=True)])
+    far = np.array([len(np.intersect1d(a, b)) < 0.7 * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2], strict=True)])
+    assert linked.sum() > 50 and (passed | ~linked).all()
+    assert far.sum() > 50 and passed[far].mean() < 0.05
