@@ -281,6 +281,33 @@ def test_media_with_common_parts(spark, vectors):
     assert members.where("id <> class_id").count() == 0
 
 
+def test_media_finds_copies_by_common_parts_alone(spark):
+    """A query that has many corners of its own, and shares with its copies only parts that more images have than count as common, finds them all."""
+    draw, copies = np.random.default_rng(9), media.Copies(most=8)
+
+    def corners(n, side):
+        out = np.zeros(n, media.CORNER)
+        out["tests"], out["turn"] = draw.integers(0, 256, (n, 32), dtype=np.uint8), draw.integers(0, media.TURNS, n)
+        out["x"], out["y"] = draw.uniform(0, side, (2, n))
+        return out
+
+    shared = corners(20, 100)
+    images = [np.concatenate([shared, corners(20, 100)]) for _ in range(30)]
+    scattered = []
+    for _ in range(30):  # have the same corners elsewhere, which makes no copy of them
+        other = shared.copy()
+        other["x"], other["y"], other["turn"] = *draw.uniform(0, 100, (2, 20)), draw.integers(0, media.TURNS, 20)
+        scattered.append(np.concatenate([other, corners(20, 100)]))
+    rows = lambda own, first: spark.createDataFrame([(first + k, x.tobytes()) for k, x in enumerate(own)], "id long, corners binary")
+    query, index = rows([np.concatenate([shared, corners(20, 100)])], 1000), rows(images + scattered, 0)
+    by_parts = media.met(query, index, copies).collect()
+    assert not [r for r in by_parts if r["id"] is not None and r["votes"] >= copies.votes]
+    told = 40 * copies.tables - sum(r["votes"] for r in by_parts if r["id"] is None)
+    assert told >= copies.enough  # so the query isn't compared with every image
+    got = {r["id"] for r in media.found_by_corners(query, index, copies).collect()}
+    assert got == set(range(30)) == {r["id"] for r in media.compared_in_full(query, index, copies).collect()}
+
+
 def test_media_finds_far_matches(spark):
     """Copies whose 20 common corners differ in as many bits as still count as a match are all found by the full comparison."""
     draw, copies = np.random.default_rng(8), media.Copies()

@@ -2,8 +2,9 @@
 
 Corners are found at scales a factor of 1.2 apart; a patch about each, turned to its orientation, gives 256 binary tests, which are 1 only if
 the difference stands out of the patch. Tables on parts of 32 of these bits find the images that share several corners with a query: a
-part that many images share is looked up with 16 more bits, and one that many share even so finds nothing. A query most of
-whose parts find nothing for that reason is compared with every descriptor of the index instead, in blocks. What is found is compared
+part that many images share is looked up with 16 more bits, and not at all if many share it even so. Of a query with such common parts every
+part is also looked up with all images in blocks, however many share it, and images are found by the places whose parts agree on a
+rough transform. A query nearly all of whose parts are common is compared with every descriptor of the index. What is found is compared
 descriptor by descriptor, and a similarity transform that enough of two images' matches agree on makes them copies.
 Images that are equal byte by byte are one class from the start and are searched once.
 """
@@ -27,8 +28,10 @@ BITS, RADIUS, TURNS, SCALE = 256, 11, 40, 1.2
 PAD, EDGE, SIDE_LEAST = 14, 4, 36
 #: Corners of a block of images and of queries, and of how many of each are compared at once.
 INDEX_BLOCK, QUERY_BLOCK, STEP = 1 << 14, 1 << 13, (32, 512)
-#: Entries of the tables that a task holds, in 8 bytes each.
-PART_ENTRIES = 1 << 22
+#: Entries of the tables that a task holds, in 8 bytes each, and shared parts of blocks that are counted at once.
+PART_ENTRIES, SHARED_STEP = 1 << 22, 1 << 20
+#: Pixels, levels and turns by which the parts of a cell of rough transforms may differ. A second grid of cells lies half a cell off.
+CELL = (24, 3, 5)
 
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("level", "u1"), ("turn", "u1"), ("tests", "u1", BITS // 8)])
 
@@ -225,7 +228,8 @@ def _sender(copies: Copies, side: int, slots: int):
 
 
 def _meeter(copies: Copies):
-    """Of a partition's rows of _sender() the (query, id, votes) of queries and images that share parts, and (query, null, parts that are common)."""
+    """Of a partition's rows of _sender() the (query, id, votes) of queries and images that share parts, and of each query with common
+    parts (query, null, those that are common with 16 bits more)."""
 
     def slot(index: list[tuple], asked: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
         def sides(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -244,8 +248,9 @@ def _meeter(copies: Copies):
         common = bounds[0][1] - bounds[0][0] > copies.most
         low, high = (np.where(common, b, a) for a, b in zip(*bounds, strict=True))
         hot = high - low > copies.most
-        for name in np.unique(query[hot]).tolist():
-            yield np.array([name]), pa.nulls(1, pa.int64()), np.array([np.count_nonzero(query[hot] == name)])
+        names, place = np.unique(query[common], return_inverse=True)
+        if len(names):
+            yield names, pa.nulls(len(names), pa.int64()), np.bincount(place, hot[common], len(names)).astype(np.int64)
         n = np.where(hot, 0, high - low)
         row = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
@@ -267,7 +272,7 @@ def _meeter(copies: Copies):
 
 
 def met(asked: DataFrame, index: DataFrame, copies: Copies) -> DataFrame:
-    """(query, id, votes), and with a null id the query's common parts, of described queries and images."""
+    """(query, id, votes) of described queries and images, and a row with a null id of each query that has common parts, see _meeter()."""
     corners = index.select(F.coalesce(F.sum(F.length("corners")), F.lit(0))).first()[0] // CORNER.itemsize
     parts = max(1, -(-corners * copies.tables // PART_ENTRIES), index.sparkSession.sparkContext.defaultParallelism)
     schema = "slot int, side int, entries binary, ids binary"
@@ -289,19 +294,25 @@ def consensus(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, copies
     centre = complex(a["x"].mean(), a["y"].mean())
     za, zb = (a["x"] + 1j * a["y"] - centre)[i], (b["x"] + 1j * b["y"])[j]
     own, other = places(a)[i], places(b)[j]
-    scaled = b["level"][j].astype(np.int64) - a["level"][i]
-    turned = (b["turn"][j].astype(np.int64) - a["turn"][i]) % TURNS
-    shift = zb - SCALE**scaled * np.exp(2j * np.pi / TURNS * turned) * za
-    most, n = 0, len(i)
+    scaled = b["level"][j].astype(np.int16) - a["level"][i]
+    turned = (b["turn"][j].astype(np.int8) - a["turn"][i].astype(np.int8)) % TURNS
+    shift = zb - SCALE ** scaled.astype(np.float64) * np.exp(2j * np.pi / TURNS * turned.astype(np.float64)) * za
+    most, n, tried = 0, len(i), set()
     for at in range(0, n, 512):
         part = slice(at, at + 512)
         alike = np.abs(scaled[part, None] - scaled) <= 1
-        alike &= np.abs((turned[part, None] - turned + TURNS // 2) % TURNS - TURNS // 2) <= 2
-        alike &= np.abs(shift[part, None] - shift) <= 20
+        turns = np.abs(turned[part, None] - turned)
+        alike &= (turns <= 2) | (turns >= TURNS - 2)
+        right, down = (own[part, None] - own for own in (shift.real, shift.imag))
+        alike &= right * right + down * down <= 400
         support = alike.sum(axis=1)
         for k in np.argsort(-support, kind="stable"):
             if support[k] <= max(most, copies.agree - 1):
                 break
+            row = alike[k].tobytes()
+            if row in tried:  # the same matches lead to the same transform
+                continue
+            tried.add(row)
             chosen = np.flatnonzero(alike[k])
             if min(len(np.unique(own[chosen])), len(np.unique(other[chosen]))) <= max(most, copies.agree - 1):
                 continue
@@ -406,8 +417,77 @@ def blocks(rows: DataFrame, prefix: str, most: int) -> DataFrame:
     return rows.select("id", "corners").mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
-def _judge_blocks(copies: Copies):
-    """For mapInArrow over pairs of a block of queries and one of images: (query, id, agreeing) of copies."""
+def _transforms() -> tuple[np.ndarray, ...]:
+    """By (levels + 255) * TURNS + turns between two corners: the transform's real and imaginary part, and the cell of levels and turns in each grid."""
+    levels, turns = np.divmod(np.arange(511 * TURNS), TURNS)
+    rate = (SCALE ** np.clip(levels - 255.0, -64, 64) * np.exp(2j * np.pi / TURNS * turns)).astype(np.complex64)
+    cells = [(levels + off * (CELL[1] // 2)) // CELL[1] * TURNS + (turns + off * (CELL[2] // 2)) % TURNS // CELL[2] for off in (0, 1)]
+    return rate.real.copy(), rate.imag.copy(), *((c * 0xC2B2AE3D & 0xFFFFFFFF).astype(np.uint32) for c in cells)
+
+
+def roughly_alike(a: np.ndarray, asked: np.ndarray, b: np.ndarray, owner: np.ndarray, copies: Copies) -> np.ndarray:
+    """(query, image), by rows, of corners a by number of their query and b by owner, where as many places of the query as copies must
+    have share a part with corners of the image by one rough transform. Every part counts, whatever else shares it.
+    """
+    real, imaginary, *cells = _transforms()
+    names, place = np.unique(np.stack([asked, places(a)], axis=1), axis=0, return_inverse=True)
+    place = place.ravel() - np.searchsorted(names[:, 0], asked)
+    queries, bounds = np.unique(asked, return_index=True)
+    bounds = np.append(bounds, len(asked))
+    middle = [np.repeat([a[c][p:q].mean() for p, q in zip(bounds[:-1], bounds[1:], strict=True)], np.diff(bounds)) for c in ("x", "y")]
+    ax, ay = ((a[c] - m).astype(np.float32) for c, m in zip(("x", "y"), middle, strict=True))
+    here, there = (x["level"].astype(np.int32) * TURNS for x in (a, b))
+    mine = asked.astype(np.uint64) << np.uint64(50) | place.astype(np.uint64) & np.uint64((1 << 19) - 1)
+    theirs = owner.astype(np.uint64) << np.uint64(35)
+    bx, by, a_turn, b_turn = b["x"].copy(), b["y"].copy(), a["turn"].astype(np.int32), b["turn"].astype(np.int32)
+    tables = []
+    for table in range(copies.tables):
+        key, other = (entries(x["tests"], table) >> np.uint64(16) for x in (a, b))
+        order = np.argsort(other, kind="stable")
+        low, high = (np.searchsorted(other[order], key, side) for side in ("left", "right"))
+        tables.append((order, low, high - low))
+    upto = np.append(0, np.cumsum(np.sum([n for _, _, n in tables], axis=0)))[bounds]
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(queries):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + SHARED_STEP, "right")) - 1)  # whole queries
+        grids: list[list[np.ndarray]] = [[], []]
+        for order, low, n in tables:
+            p = bounds[at]
+            while p < bounds[to]:
+                total = np.cumsum(n[p : bounds[to]])
+                q = p + max(1, int(np.searchsorted(total, SHARED_STEP, "right")))
+                own = n[p:q]
+                i = np.repeat(np.arange(p, p + len(own)), own)
+                j = order[np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own) + low[i]]
+                turn = b_turn[j] - a_turn[i]
+                turn[turn < 0] += TURNS
+                code = there[j] - here[i] + turn + 255 * TURNS
+                x, y = ax[i], ay[i]
+                re, im = real[code], imaginary[code]
+                x, y = bx[j] - re * x + im * y, by[j] - re * y - im * x
+                both = mine[i] | theirs[j]
+                for off in (0, 1):
+                    cell = cells[off][code]
+                    for v, many in ((x, 0x9E3779B1), (y, 0x85EBCA77)):
+                        cell += (v * np.float32(1 / CELL[0]) + np.float32(4096 + 0.5 * off)).astype(np.int32).view(np.uint32) * np.uint32(many)
+                    new = both | (cell >> np.uint32(16)).astype(np.uint64) << np.uint64(19)
+                    if q - p < bounds[to] - bounds[at]:  # a query may share very many
+                        new = np.unique(new)
+                    grids[off].append(new)
+                p = q
+        for parts in grids:
+            key = np.concatenate(parts)
+            key.sort()
+            cell = key[np.append(True, key[1:] != key[:-1])] >> np.uint64(19) if len(key) else key
+            k = copies.agree - 1
+            out.append(np.unique(cell[k:][cell[k:] == cell[: len(cell) - k]] >> np.uint64(16)))
+        at = to
+    pair = np.unique(np.concatenate(out))
+    return np.stack([pair >> np.uint64(15), pair & np.uint64((1 << 15) - 1)], axis=1).astype(np.int64)
+
+
+def _judge_blocks(copies: Copies, every: bool):
+    """For mapInArrow over pairs of a block of queries and one of images: (query, id, agreeing) of copies, among every pair or those that are roughly_alike()."""
 
     def block(batch: pa.RecordBatch, at: int, row: int) -> tuple[np.ndarray, ...]:
         ids, counts, corners = (np.frombuffer(batch.column(at + k)[row].as_buffer(), kind) for k, kind in enumerate((np.int64, np.int64, CORNER)))
@@ -418,9 +498,15 @@ def _judge_blocks(copies: Copies):
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
-                asked, _, a, begin = block(batch, 0, row)
-                ids, counts, b, _ = block(batch, 3, row)
+                asked, own, a, begin = block(batch, 0, row)
+                ids, counts, b, first = block(batch, 3, row)
                 owner = np.repeat(np.arange(len(ids)), counts)
+                if not every:
+                    pairs = roughly_alike(a, np.repeat(np.arange(len(asked)), own), b, owner, copies)
+                    for k, t in pairs.tolist():
+                        part = b[first[t] : first[t + 1]]
+                        out += [(int(asked[k]), int(ids[t]), n) for _, n in agreeing(a[begin[k] : begin[k + 1]], part, np.zeros(len(part), np.int64), 1, copies)]
+                    continue
                 for k, query in enumerate(asked.tolist()):
                     out += [(query, int(ids[t]), n) for t, n in agreeing(a[begin[k] : begin[k + 1]], b, owner, len(ids), copies)]
             yield _answer(out)
@@ -430,8 +516,20 @@ def _judge_blocks(copies: Copies):
 
 def compared_in_full(asked: DataFrame, index: DataFrame, copies: Copies) -> DataFrame:
     """(query, id, agreeing) of described queries and images, every one with every one, in blocks."""
-    both = blocks(asked, "a_", QUERY_BLOCK).crossJoin(blocks(index, "b_", INDEX_BLOCK))
-    return both.mapInArrow(_judge_blocks(copies), "query long, id long, agreeing long")
+    return _in_blocks(asked, index, copies, True)
+
+
+def compared_where_alike(asked: DataFrame, index: DataFrame, copies: Copies) -> DataFrame:
+    """(query, id, agreeing) of described queries and images whose parts, common ones too, agree on a rough transform."""
+    return _in_blocks(asked, index, copies, False)
+
+
+def _in_blocks(asked: DataFrame, index: DataFrame, copies: Copies, every: bool) -> DataFrame:
+    images = blocks(index, "b_", INDEX_BLOCK)
+    if not every:
+        images = images.repartition(8 * index.sparkSession.sparkContext.defaultParallelism)
+    both = blocks(asked, "a_", QUERY_BLOCK).crossJoin(images) if every else images.crossJoin(blocks(asked, "a_", QUERY_BLOCK)).select(*(f"{x}_{n}" for x in "ab" for n in ("ids", "counts", "corners")))
+    return both.mapInArrow(_judge_blocks(copies, every), "query long, id long, agreeing long")
 
 
 def classes(index: DataFrame) -> DataFrame:
@@ -440,18 +538,8 @@ def classes(index: DataFrame) -> DataFrame:
     return index.select("id", "digest").join(least, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
-def find_copies(queries: DataFrame, images: DataFrame, copies: Copies = Copies(), query_id: str = "id", image_id: str = "id") -> tuple[DataFrame, DataFrame]:
-    """((query, id, agreeing) of each query image and each class of images that it is a copy of; (id, class_id) of every image).
-
-    Both tables hold (id, width, height, pixels), grey images one byte a pixel by rows. A null image, one whose bytes don't fit its
-    size, or one too small or too plain for corners is a copy of nothing. Rows with a null id are left out; rows repeated under an id
-    are one image. Other columns are left alone; an empty table gives empty ones. Every image is indexed, equal images once. The work follows
-    the parts that are shared; only queries whose parts are common are compared with every image.
-    """
-    every = materialize(described(images, copies, image_id), "media-index")
-    members = materialize(classes(every), "media-classes")
-    index = every.join(members.where("id = class_id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    asked = materialize(described(queries, copies, query_id).where("length(corners) > 0"), "media-queries")
+def found_by_corners(asked: DataFrame, index: DataFrame, copies: Copies) -> DataFrame:
+    """(query, id, agreeing) of described queries and images, whose ids are distinct, written to the shared folder."""
     shared = materialize(met(asked, index, copies), "media-met")
     pairs = shared.where(F.col("id").isNotNull() & (F.col("votes") >= copies.votes)).select("query", "id")
     corners = lambda df, name: df.select(F.col("id").alias(name), F.col("corners").alias(f"corners_{name}"))
@@ -459,11 +547,31 @@ def find_copies(queries: DataFrame, images: DataFrame, copies: Copies = Copies()
     found = both.mapInArrow(_judge(copies), "query long, id long, agreeing long")
     common = shared.where("id is null").select(F.col("query").alias("id"), "votes")
     told = F.length("corners") / CORNER.itemsize * copies.tables - F.col("votes")
-    rest = materialize(asked.join(common, "id").where(told < copies.enough).select("id", "corners"), "media-rest")
-    if not rest.isEmpty():
-        found = found.unionByName(compared_in_full(rest, index, copies))
+    common_ones = materialize(asked.join(common, "id").select("id", "corners", (told < copies.enough).alias("every")), "media-rest")
+    for every, compared in ((True, compared_in_full), (False, compared_where_alike)):
+        rest = common_ones.where(F.col("every") == every)
+        if not rest.isEmpty():
+            found = found.unionByName(compared(rest, index, copies))
     out = materialize(found.groupBy("query", "id").agg(F.max("agreeing").alias("agreeing")), "media-found")
-    for x in (every, asked, shared, rest):
+    for x in (shared, common_ones):
+        discard(x)
+    return out
+
+
+def find_copies(queries: DataFrame, images: DataFrame, copies: Copies = Copies(), query_id: str = "id", image_id: str = "id") -> tuple[DataFrame, DataFrame]:
+    """((query, id, agreeing) of each query image and each class of images that it is a copy of; (id, class_id) of every image).
+
+    Both tables hold (id, width, height, pixels), grey images one byte a pixel by rows. A null image, one whose bytes don't fit its
+    size, or one too small or too plain for corners is a copy of nothing. Rows with a null id are left out; rows repeated under an id
+    are one image. Other columns are left alone; an empty table gives empty ones. Every image is indexed, equal images once. The work follows
+    the parts that are shared, common ones too; only queries nearly all of whose parts are common are compared with every image.
+    """
+    indexed = materialize(described(images, copies, image_id), "media-index")
+    members = materialize(classes(indexed), "media-classes")
+    index = indexed.join(members.where("id = class_id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    asked = materialize(described(queries, copies, query_id).where("length(corners) > 0"), "media-queries")
+    out = found_by_corners(asked, index, copies)
+    for x in (indexed, asked):
         discard(x)
     return out, members
 
