@@ -308,6 +308,43 @@ def test_media_finds_copies_by_common_parts_alone(spark):
     assert got == set(range(30)) == {r["id"] for r in media.compared_in_full(query, index, copies).collect()}
 
 
+def test_media_does_not_take_chance_for_copies():
+    """Images of corners that all look alike agree in some places on any transform, which makes no copies; those that lie alike throughout are ones."""
+    draw, copies = np.random.default_rng(4), media.Copies()
+    images = np.zeros((40, 24), media.CORNER)
+    images["x"], images["y"] = draw.uniform(0, 100, (2, 40, 24))
+    owner = np.repeat(np.arange(40), 24)
+    for k in range(40):
+        assert [t for t, _ in media.agreeing(images[k], images.ravel(), owner, 40, copies)] == [k]
+
+
+def test_media_looks_up_every_common_part():
+    """What shares parts of as many places by one rough transform is met, whichever places are looked up last, as by counting all that they share."""
+    draw, copies = np.random.default_rng(5), media.Copies()
+    kinds, often = draw.integers(0, 256, (12, 32), dtype=np.uint8), np.array([20, 10, 5, *[1] * 9]) / 44
+    images = np.zeros((60, 30), media.CORNER)
+    images["x"], images["y"] = draw.uniform(0, 100, (2, 60, 30))
+    images["turn"], images["level"], images["tests"] = draw.integers(0, 2, (60, 30)) * 10, draw.integers(0, 4, (60, 30)), kinds[draw.choice(12, (60, 30), p=often)]
+    images["tests"][:, :, 4:24][draw.random((60, 30)) < 0.5] = draw.integers(0, 256, 20, dtype=np.uint8)  # share some parts, not all
+    got = {(k, t) for k, hit in media.roughly_alike(images[:20].ravel(), np.full(20, 30), media.parts_of(images.ravel(), np.repeat(np.arange(60), 30), 60, copies), copies) for t in hit.tolist()}
+    want, (rate, *cells) = set(), media._transforms()
+    parts, code = np.ascontiguousarray(images["tests"]).view("<u4")[..., : copies.tables], images["level"].astype(np.int64) * 2 * media.TURNS + images["turn"]
+    for k in range(20):
+        own, far = media.places(images[k]), media._half_cells(images[k])
+        for t in range(60):
+            i, j = np.nonzero((parts[k][:, None] == parts[t][None]).any(axis=2))
+            turn = code[t][j] - code[k][i] + (2 * 255 + 1) * media.TURNS
+            z = media._half_cells(images[t])[j] + np.complex64(8192 + 8192j) - rate[turn] * (far - far.mean())[i]
+            need = max(copies.agree, int(np.ceil(copies.share * min(len(np.unique(own)), len(np.unique(media.places(images[t])))))))
+            for off in (0, 1):
+                held = {}
+                for x, y, c, at in zip((z.real.astype(int) + off) // 2, (z.imag.astype(int) + off) // 2, cells[off][turn].tolist(), own[i].tolist(), strict=True):
+                    held.setdefault((x, y, c), set()).add(at)
+                if max(map(len, held.values()), default=0) >= need:
+                    want.add((k, t))
+    assert {(k, k) for k in range(20)} <= want <= got and 20 < len(want) < 1100 and len(got - want) <= 0.02 * 1200
+
+
 def test_media_finds_far_matches(spark):
     """Copies whose 20 common corners differ in as many bits as still count as a match are all found by the full comparison."""
     draw, copies = np.random.default_rng(8), media.Copies()

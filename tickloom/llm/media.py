@@ -5,7 +5,8 @@ the difference stands out of the patch. Tables on parts of 32 of these bits find
 part that many images share is looked up with 16 more bits, and not at all if many share it even so. Of a query with such common parts every
 part is also looked up with all images in blocks, however many share it, and images are found by the places whose parts agree on a
 rough transform. A query nearly all of whose parts are common is compared with every descriptor of the index. What is found is compared
-descriptor by descriptor, and a similarity transform that enough of two images' matches agree on makes them copies.
+descriptor by descriptor, and a similarity transform makes two images copies that enough of their matches agree on: enough places, and more
+than so many matches would bring together by chance. Alike corners, as of plain shapes, match many others, and some of those agree on anything.
 Images that are equal byte by byte are one class from the start and are searched once.
 """
 
@@ -26,8 +27,9 @@ from tickloom.llm.shared import bounded_batches, discard, hold, materialize
 BITS, RADIUS, TURNS, SCALE = 256, 11, 40, 1.2
 #: Pixels about a level's image that repeat its edge, nearest place of a corner to the edge, and the least side of a level.
 PAD, EDGE, SIDE_LEAST = 14, 4, 36
-#: Corners of a block of images and of queries, and of how many of each are compared at once.
+#: Corners of a block of images and of queries, and of how many of each are compared at once; corners of such blocks where only parts are looked up.
 INDEX_BLOCK, QUERY_BLOCK, STEP = 1 << 14, 1 << 13, (32, 512)
+PART_INDEX_BLOCK, PART_QUERY_BLOCK = 1 << 17, 1 << 15
 #: Entries of the tables that a task holds, in 8 bytes each, and shared parts of blocks that are counted at once.
 PART_ENTRIES, SHARED_STEP = 1 << 22, 1 << 20
 #: Pixels, levels and turns by which the parts of a cell of rough transforms may differ. A second grid of cells lies half a cell off.
@@ -42,7 +44,7 @@ class Copies:
     stand_out: deviations of the patch by which two places must differ. tables: of the 8 parts. most: images that share a part without its being
     common. votes: parts that a query and an image must share. enough: parts of a query, so many of which must not be common.
     apart: most differing bits of a match. miss: pixels by which a match may miss the transform. agree, share: places that must agree, and
-    their part of the places of the image that has fewer."""
+    their part of the places of the image that has fewer. chance: transforms that so many places may be expected to agree on by chance."""
 
     area: int = 900
     least: int = 8
@@ -55,6 +57,7 @@ class Copies:
     miss: float = 2.5
     agree: int = 7
     share: float = 0.3
+    chance: float = 1e-6
 
 
 def _tests() -> np.ndarray:
@@ -285,37 +288,64 @@ def places(corners: np.ndarray) -> np.ndarray:
     return (np.rint(corners["y"] / 4) * (1 << 20) + np.rint(corners["x"] / 4)).astype(np.int64)
 
 
-def consensus(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, copies: Copies) -> int:
-    """The most places, different on both sides, whose matches i to j of corners a to b one similarity transform explains.
+def _distinct(alike: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """By rows of alike, how many different places its columns have."""
+    order = np.argsort(places, kind="stable")
+    own = places[order]
+    return np.count_nonzero(np.logical_or.reduceat(alike[:, order], np.flatnonzero(np.append(True, own[1:] != own[:-1])), axis=1), axis=1)
+
+
+def _support(scaled: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """Of each match how many scale and turn as it does, roughly."""
+    level = scaled - scaled.min(initial=0) + 1
+    levels = int(level.max(initial=0)) + 2
+    count = np.bincount(level.astype(np.int64) * TURNS + turned, minlength=levels * TURNS).reshape(levels, TURNS)
+    near = sum(np.roll(count, k, axis=1) for k in range(-2, 3))
+    near[1:-1] = near[1:-1] + near[:-2] + near[2:]
+    return near[level, turned]
+
+
+def places_of(corners: np.ndarray, owner: np.ndarray, images: int) -> np.ndarray:
+    """How many places each of so many images has whose corners these are, by owner."""
+    order = np.lexsort((at := places(corners), owner))
+    at, owner = at[order], owner[order]
+    return np.bincount(owner[np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))], minlength=images) if len(at) else np.zeros(images, np.int64)
+
+
+def consensus(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, copies: Copies, need: int = 0) -> int:
+    """The most places, different on both sides, whose matches i to j of corners a to b one similarity transform explains; fewer than need don't matter.
 
     Each match tells a rough transform by how its patches turn and scale. The matches that roughly share one's transform are fitted
     to it, closer in each round; every match is taken as such a beginning unless too few share its transform to be more than what is known.
     """
+    need = max(need, copies.agree)
     centre = complex(a["x"].mean(), a["y"].mean())
     za, zb = (a["x"] + 1j * a["y"] - centre)[i], (b["x"] + 1j * b["y"])[j]
     own, other = places(a)[i], places(b)[j]
     scaled = b["level"][j].astype(np.int16) - a["level"][i]
     turned = (b["turn"][j].astype(np.int8) - a["turn"][i].astype(np.int8)) % TURNS
-    shift = zb - SCALE ** scaled.astype(np.float64) * np.exp(2j * np.pi / TURNS * turned.astype(np.float64)) * za
-    most, n, tried = 0, len(i), set()
-    for at in range(0, n, 512):
-        part = slice(at, at + 512)
-        alike = np.abs(scaled[part, None] - scaled) <= 1
+    shift = (zb - SCALE ** scaled.astype(np.float64) * np.exp(2j * np.pi / TURNS * turned.astype(np.float64)) * za).astype(np.complex64)
+    most, tried, begin = 0, set(), np.flatnonzero(_support(scaled, turned) >= need)
+    for at in range(0, len(begin), 512):
+        part = begin[at : at + 512]
+        off = sum(np.square(far := x[part, None] - x, out=far) for x in (shift.real.copy(), shift.imag.copy()))
+        alike = off <= 400
+        some = np.count_nonzero(alike, axis=1) >= max(need, most + 1)
+        part, alike = part[some], alike[some]
+        alike &= np.abs(scaled[part, None] - scaled) <= 1
         turns = np.abs(turned[part, None] - turned)
         alike &= (turns <= 2) | (turns >= TURNS - 2)
-        right, down = (own[part, None] - own for own in (shift.real, shift.imag))
-        alike &= right * right + down * down <= 400
-        support = alike.sum(axis=1)
+        for where in (own, other):
+            alike = alike[_distinct(alike, where) >= max(need, most + 1)]
+        support = np.minimum(_distinct(alike, own), _distinct(alike, other))
         for k in np.argsort(-support, kind="stable"):
-            if support[k] <= max(most, copies.agree - 1):
+            if support[k] <= max(most, need - 1):
                 break
             row = alike[k].tobytes()
             if row in tried:  # the same matches lead to the same transform
                 continue
             tried.add(row)
             chosen = np.flatnonzero(alike[k])
-            if min(len(np.unique(own[chosen])), len(np.unique(other[chosen]))) <= max(most, copies.agree - 1):
-                continue
             for close in (12.0, 6.0, 2 * copies.miss, copies.miss, copies.miss):
                 x, y = za[chosen], zb[chosen]
                 mean = x.mean()
@@ -351,6 +381,21 @@ def matches(ta: np.ndarray, tb: np.ndarray, apart: int) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(own) for own in zip(*out, strict=True))
 
 
+def beyond_chance(pairs: np.ndarray, area: np.ndarray, copies: Copies) -> np.ndarray:
+    """Places that must agree for as many to be expected on less than copies.chance of the transforms that two of the pairs of places tell.
+
+    If pairs of places lie by chance in an area of so many pixels, those that miss a transform by little are nearly a Poisson number; two agree anyway.
+    """
+    mean = np.maximum(pairs * np.pi * copies.miss**2 / np.maximum(area, 1.0), 1e-9)[:, None]
+    most = int(max(pairs.max(initial=0), copies.agree))
+    k = np.arange(min(most, 1 << 12) + 1)
+    factorial = np.append(0.0, np.cumsum(np.log(np.maximum(k[1:], 1))))
+    with np.errstate(divide="ignore"):
+        tail = np.where(k + 1 > mean, k * np.log(mean) - mean - factorial - np.log(np.maximum(1 - mean / (k + 1), 0)), 0.0)  # an upper bound
+        good = np.log(np.maximum(pairs * (pairs - 1) / 2, 1))[:, None] + tail <= np.log(copies.chance)
+    return np.where(good.any(axis=1), good.argmax(axis=1), len(k)) + 2
+
+
 def agreeing(a: np.ndarray, b: np.ndarray, owner: np.ndarray, images: int, copies: Copies) -> list[tuple[int, int]]:
     """(image, places that agree) of the copies of a query's corners a among the images whose corners are b, by owner."""
     i, j, _ = matches(a["tests"], b["tests"], copies.apart)
@@ -360,12 +405,23 @@ def agreeing(a: np.ndarray, b: np.ndarray, owner: np.ndarray, images: int, copie
     names, place = np.unique(places(a), return_inverse=True)
     mine = np.bincount(np.unique(image * len(a) + place[i]) // max(len(a), 1), minlength=images)
     theirs = np.bincount(owner[np.unique(j)], minlength=images)
-    all_ = np.bincount(np.unique(np.stack([owner, places(b)], axis=1), axis=0)[:, 0], minlength=images) if len(b) else theirs
-    need = np.maximum(copies.agree, np.ceil(copies.share * np.minimum(len(names), all_)))
+    all_ = places_of(b, owner, images)
+    need = np.maximum(copies.agree, np.ceil(copies.share * np.minimum(len(names), all_))).astype(np.int64)
+    some = np.flatnonzero(np.minimum(mine, theirs) >= need)
+    if not len(some):
+        return []
+    good = np.isin(image, some)
+    seen = np.stack([image[good], place[i[good]], places(b)[j[good]]], axis=1)
+    pairs = np.bincount(np.unique(seen, axis=0)[:, 0], minlength=images)[some]
+    span = np.empty(len(some))
+    for n, t in enumerate(some.tolist()):
+        own = b[slice(*np.searchsorted(owner, (t, t + 1)))]
+        span[n] = float(np.ptp(own["x"])) * float(np.ptp(own["y"]))
+    need[some] = np.maximum(need[some], beyond_chance(pairs, span, copies))
     out = []
     for t in np.flatnonzero(np.minimum(mine, theirs) >= need).tolist():  # fewer places can't agree
         own = slice(*np.searchsorted(image, (t, t + 1)))
-        n = consensus(a, b, i[own], j[own], copies)
+        n = consensus(a, b, i[own], j[own], copies, int(need[t]))
         if n >= need[t]:
             out.append((t, n))
     return out
@@ -418,72 +474,129 @@ def blocks(rows: DataFrame, prefix: str, most: int) -> DataFrame:
 
 
 def _transforms() -> tuple[np.ndarray, ...]:
-    """By (levels + 255) * TURNS + turns between two corners: the transform's real and imaginary part, and the cell of levels and turns in each grid."""
-    levels, turns = np.divmod(np.arange(511 * TURNS), TURNS)
+    """By (levels + 255) * 2 * TURNS + turns + TURNS between two corners: the transform's rate, and the cell of levels and turns in each grid, mixed."""
+    levels, turns = np.divmod(np.arange(511 * 2 * TURNS), 2 * TURNS)
+    turns = (turns - TURNS) % TURNS
     rate = (SCALE ** np.clip(levels - 255.0, -64, 64) * np.exp(2j * np.pi / TURNS * turns)).astype(np.complex64)
     cells = [(levels + off * (CELL[1] // 2)) // CELL[1] * TURNS + (turns + off * (CELL[2] // 2)) % TURNS // CELL[2] for off in (0, 1)]
-    return rate.real.copy(), rate.imag.copy(), *((c * 0xC2B2AE3D & 0xFFFFFFFF).astype(np.uint32) for c in cells)
+    return rate, *(mix(c.astype(np.uint64)) for c in cells)
+
 
+def _half_cells(corners: np.ndarray) -> np.ndarray:
+    return ((corners["x"] + 1j * corners["y"]) * (2 / CELL[0])).astype(np.complex64)
 
-def roughly_alike(a: np.ndarray, asked: np.ndarray, b: np.ndarray, owner: np.ndarray, copies: Copies) -> np.ndarray:
-    """(query, image), by rows, of corners a by number of their query and b by owner, where as many places of the query as copies must
-    have share a part with corners of the image by one rough transform. Every part counts, whatever else shares it.
+
+def _part_keys(corners: np.ndarray, table: int) -> np.ndarray:
+    """A table's part of each corner and, after it, that of the table before."""
+    parts = np.ascontiguousarray(corners["tests"]).view("<u4").astype(np.uint64)
+    return parts[:, table] << np.uint64(32) | (parts[:, table - 1] if table else np.uint64(0))
+
+
+def parts_of(b: np.ndarray, owner: np.ndarray, images: int, copies: Copies) -> tuple:
+    """Tables of images' corners b: each table's sorted keys, and by those of all tables place in half cells, level and turn, and
+    image; places of each image; and parts, places, levels and turns in the order of b, and where each image begins there."""
+    far, code = _half_cells(b) + np.complex64(8192 + 8192j), b["level"].astype(np.int64) * (2 * TURNS) + b["turn"]
+    keys = [_part_keys(b, table) for table in range(copies.tables)]
+    order = [np.argsort(key, kind="stable") for key in keys]
+    every = np.concatenate(order)
+    plain = np.ascontiguousarray(b["tests"]).view("<u4")[:, : copies.tables].T.copy(), far, code, np.searchsorted(owner, np.arange(images + 1))
+    return [key[own] for key, own in zip(keys, order, strict=True)], far[every], code[every], owner[every].astype(np.uint32), places_of(b, owner, images), plain
+
+
+def _ranges(a: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first, rows) of each corner of a in each table, in two ranges: the corners with its part but not that of the table before, which are met there."""
+    first, rows = np.zeros((2, len(a), 2 * len(keys)), np.int64)
+    order = [np.argsort(_part_keys(a, table)) for table in range(len(keys))]  # near ones are looked up one after the other
+    for table, key in enumerate(keys):
+        own, past = _part_keys(a, table)[order[table]], table * len(key)
+        part = own & np.uint64(0xFFFFFFFF << 32)
+        low, high = np.searchsorted(key, part, "left"), np.searchsorted(key, part | np.uint64(0xFFFFFFFF), "right")
+        left, right = (np.searchsorted(key, own, side) for side in ("left", "right")) if table else (low, low)
+        first[order[table], 2 * table], first[order[table], 2 * table + 1] = low + past, right + past
+        rows[order[table], 2 * table], rows[order[table], 2 * table + 1] = left - low, high - right
+    return first, rows
+
+
+def _kept_once(keys: np.ndarray) -> np.ndarray:
+    keys.sort()
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def _full(keys: np.ndarray, bits: int, room: int, need: np.ndarray) -> np.ndarray:
+    """Images that have a cell with as many of the sorted keys as they need, each key once."""
+    cell, k = keys >> keys.dtype.type(bits), int(need.min()) - 1
+    begin = np.flatnonzero(cell[k:] == cell[: max(len(cell) - k, 0)])
+    begin = begin[(begin == 0) | (cell[begin - 1] != cell[begin])]
+    image = (cell[begin] >> keys.dtype.type(room)).astype(np.int64)
+    last = begin + need[image] - 1
+    return image[(last < len(cell)) & (cell[np.minimum(last, len(cell) - 1)] == cell[begin])]
+
+
+def roughly_alike(a: np.ndarray, counts: np.ndarray, tables: tuple, copies: Copies) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, images) of queries, with so many of the corners a each, and of images by their parts_of(), where as many places of the query as
+    copies of so many places must have share a part with corners of the image by one rough transform. Every part counts, whatever else shares it.
+    If r places share one, r - d of them do without the d that share most; only images that have so many are looked up by all places.
+    Cells are told apart by a hash, so an image may be one too many.
     """
-    real, imaginary, *cells = _transforms()
-    names, place = np.unique(np.stack([asked, places(a)], axis=1), axis=0, return_inverse=True)
-    place = place.ravel() - np.searchsorted(names[:, 0], asked)
-    queries, bounds = np.unique(asked, return_index=True)
-    bounds = np.append(bounds, len(asked))
-    middle = [np.repeat([a[c][p:q].mean() for p, q in zip(bounds[:-1], bounds[1:], strict=True)], np.diff(bounds)) for c in ("x", "y")]
-    ax, ay = ((a[c] - m).astype(np.float32) for c, m in zip(("x", "y"), middle, strict=True))
-    here, there = (x["level"].astype(np.int32) * TURNS for x in (a, b))
-    mine = asked.astype(np.uint64) << np.uint64(50) | place.astype(np.uint64) & np.uint64((1 << 19) - 1)
-    theirs = owner.astype(np.uint64) << np.uint64(35)
-    bx, by, a_turn, b_turn = b["x"].copy(), b["y"].copy(), a["turn"].astype(np.int32), b["turn"].astype(np.int32)
-    tables = []
-    for table in range(copies.tables):
-        key, other = (entries(x["tests"], table) >> np.uint64(16) for x in (a, b))
-        order = np.argsort(other, kind="stable")
-        low, high = (np.searchsorted(other[order], key, side) for side in ("left", "right"))
-        tables.append((order, low, high - low))
-    upto = np.append(0, np.cumsum(np.sum([n for _, _, n in tables], axis=0)))[bounds]
-    out, at = [np.zeros(0, np.uint64)], 0
-    while at < len(queries):
-        to = max(at + 1, int(np.searchsorted(upto, upto[at] + SHARED_STEP, "right")) - 1)  # whole queries
-        grids: list[list[np.ndarray]] = [[], []]
-        for order, low, n in tables:
-            p = bounds[at]
-            while p < bounds[to]:
-                total = np.cumsum(n[p : bounds[to]])
-                q = p + max(1, int(np.searchsorted(total, SHARED_STEP, "right")))
-                own = n[p:q]
-                i = np.repeat(np.arange(p, p + len(own)), own)
-                j = order[np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own) + low[i]]
-                turn = b_turn[j] - a_turn[i]
-                turn[turn < 0] += TURNS
-                code = there[j] - here[i] + turn + 255 * TURNS
-                x, y = ax[i], ay[i]
-                re, im = real[code], imaginary[code]
-                x, y = bx[j] - re * x + im * y, by[j] - re * y - im * x
-                both = mine[i] | theirs[j]
-                for off in (0, 1):
-                    cell = cells[off][code]
-                    for v, many in ((x, 0x9E3779B1), (y, 0x85EBCA77)):
-                        cell += (v * np.float32(1 / CELL[0]) + np.float32(4096 + 0.5 * off)).astype(np.int32).view(np.uint32) * np.uint32(many)
-                    new = both | (cell >> np.uint32(16)).astype(np.uint64) << np.uint64(19)
-                    if q - p < bounds[to] - bounds[at]:  # a query may share very many
-                        new = np.unique(new)
-                    grids[off].append(new)
-                p = q
-        for parts in grids:
-            key = np.concatenate(parts)
-            key.sort()
-            cell = key[np.append(True, key[1:] != key[:-1])] >> np.uint64(19) if len(key) else key
-            k = copies.agree - 1
-            out.append(np.unique(cell[k:][cell[k:] == cell[: len(cell) - k]] >> np.uint64(16)))
-        at = to
-    pair = np.unique(np.concatenate(out))
-    return np.stack([pair >> np.uint64(15), pair & np.uint64((1 << 15) - 1)], axis=1).astype(np.int64)
+    keys, far, code, owner, seen, plain = tables
+    rate, *cells = _transforms()
+    first, rows = _ranges(a, keys)
+    ends = np.append(0, np.cumsum(counts))
+    for query in range(len(counts)):
+        own = slice(ends[query], ends[query + 1])
+        names, place = np.unique(places(a[own]), return_inverse=True)
+        if len(names) < copies.agree:
+            continue
+        need = np.maximum(copies.agree, np.ceil(copies.share * np.minimum(len(names), seen))).astype(np.int64)
+        middle = _half_cells(a[own])
+        middle -= middle.mean()
+        turned = a[own]["level"].astype(np.int64) * (2 * TURNS) + a[own]["turn"] - (255 * 2 + 1) * TURNS
+        bits = len(names).bit_length()
+        room = 32 - bits - len(seen).bit_length()  # bits of a cell
+        kind, room = (np.uint32, room) if room >= 10 else (np.uint64, 20)
+
+        def grids(i: np.ndarray, far: np.ndarray, code: np.ndarray, image: np.ndarray, own=(middle, turned, place.astype(kind)), bits=bits, room=room, kind=kind) -> list[np.ndarray]:
+            """By grid the sorted keys (image, cell, place), each once, of the query's corners i and those of images that have a part of theirs."""
+            z, turn, which = (x[i] for x in own)
+            turn = code - turn
+            half = (far - rate[turn] * z).view(np.float32).astype(np.int32)
+            which |= image.astype(kind, copy=False) << kind(room + bits)
+            out = []
+            for off in (0, 1):
+                cell = ((half + off if off else half) >> 1).view(np.uint64)
+                cell = cell * np.uint64(0x9E3779B97F4A7C15) + cells[off][turn]
+                cell *= np.uint64(0xD6E8FEB86659FD93)
+                key = (cell >> np.uint64(64 - room)).astype(kind, copy=False) << kind(bits)
+                out.append(_kept_once(key | which))
+            return out
+
+        def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+            return parts[0] if len(parts) == 1 else [_kept_once(np.concatenate(x)) for x in zip(*parts, strict=True)]
+
+        fewer = int(need.min()) - 3
+        share = np.bincount(place, rows[own].sum(axis=1))
+        rest = np.flatnonzero(~np.isin(place, np.argsort(-share, kind="stable")[: max(fewer, 0)]))
+        low, n = first[own][rest].ravel(), rows[own][rest].ravel()
+        upto, corner = np.append(0, np.cumsum(n)), np.repeat(rest, first.shape[1])
+        parts, p = [], 0
+        while p < len(n):
+            q = max(p + 1, int(np.searchsorted(upto, upto[p] + SHARED_STEP, "right")) - 1)
+            j = np.arange(upto[q] - upto[p]) + np.repeat(low[p:q] - (upto[p:q] - upto[p]), n[p:q])
+            parts.append(grids(np.repeat(corner[p:q], n[p:q]), far[j], code[j], owner[j]))
+            p = q
+        likely = np.unique(np.concatenate([_full(key, bits, room, need - max(fewer, 0)) for key in joined(parts)])) if parts else np.zeros(0, np.int64)
+        hits, asked = [], np.ascontiguousarray(a[own]["tests"]).view("<u4")
+        for at in range(0, len(likely), 256):
+            some = likely[at : at + 256]
+            image = np.repeat(some, plain[3][some + 1] - plain[3][some])
+            j = np.concatenate([np.arange(plain[3][x], plain[3][x + 1]) for x in some.tolist()])
+            same = np.zeros((len(asked), len(j)), bool)
+            for table in range(copies.tables):
+                same |= asked[:, table, None] == plain[0][table][j]
+            i, k = np.divmod(np.flatnonzero(same), len(j))
+            hits += [_full(key, bits, room, need) for key in grids(i, plain[1][j[k]], plain[2][j[k]], image[k])]
+        if hits and len(hit := np.unique(np.concatenate(hits))):
+            yield query, hit
 
 
 def _judge_blocks(copies: Copies, every: bool):
@@ -495,6 +608,7 @@ def _judge_blocks(copies: Copies, every: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold()
+        known, tables = None, ()
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
@@ -502,10 +616,14 @@ def _judge_blocks(copies: Copies, every: bool):
                 ids, counts, b, first = block(batch, 3, row)
                 owner = np.repeat(np.arange(len(ids)), counts)
                 if not every:
-                    pairs = roughly_alike(a, np.repeat(np.arange(len(asked)), own), b, owner, copies)
-                    for k, t in pairs.tolist():
-                        part = b[first[t] : first[t + 1]]
-                        out += [(int(asked[k]), int(ids[t]), n) for _, n in agreeing(a[begin[k] : begin[k + 1]], part, np.zeros(len(part), np.int64), 1, copies)]
+                    if known is None or not np.array_equal(known, ids):  # one block of images follows itself, each time with other queries
+                        known, tables = ids.copy(), parts_of(b, owner, len(ids), copies)
+                    for k, hit in roughly_alike(a, own, tables, copies):
+                        for t in range(0, len(hit), 256):
+                            some = hit[t : t + 256]
+                            part = np.concatenate([b[first[x] : first[x + 1]] for x in some.tolist()])
+                            found = agreeing(a[begin[k] : begin[k + 1]], part, np.repeat(np.arange(len(some)), counts[some]), len(some), copies)
+                            out += [(int(asked[k]), int(ids[some[x]]), n) for x, n in found]
                     continue
                 for k, query in enumerate(asked.tolist()):
                     out += [(query, int(ids[t]), n) for t, n in agreeing(a[begin[k] : begin[k + 1]], b, owner, len(ids), copies)]
@@ -525,10 +643,10 @@ def compared_where_alike(asked: DataFrame, index: DataFrame, copies: Copies) ->
 
 
 def _in_blocks(asked: DataFrame, index: DataFrame, copies: Copies, every: bool) -> DataFrame:
-    images = blocks(index, "b_", INDEX_BLOCK)
+    images = blocks(index, "b_", INDEX_BLOCK if every else PART_INDEX_BLOCK)
     if not every:
         images = images.repartition(8 * index.sparkSession.sparkContext.defaultParallelism)
-    both = blocks(asked, "a_", QUERY_BLOCK).crossJoin(images) if every else images.crossJoin(blocks(asked, "a_", QUERY_BLOCK)).select(*(f"{x}_{n}" for x in "ab" for n in ("ids", "counts", "corners")))
+    both = blocks(asked, "a_", QUERY_BLOCK).crossJoin(images) if every else images.crossJoin(blocks(asked, "a_", PART_QUERY_BLOCK)).select(*(f"{x}_{n}" for x in "ab" for n in ("ids", "counts", "corners")))
     return both.mapInArrow(_judge_blocks(copies, every), "query long, id long, agreeing long")
 
 
