@@ -368,3 +368,30 @@ def test_line_sketches_lose_no_link():
     far = np.array([len(np.intersect1d(a, b)) < 0.7 * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2], strict=True)])
     assert linked.sum() > 50 and (passed | ~linked).all()
     assert far.sum() > 50 and passed[far].mean() < 0.05
+
+
+def test_lone_lines_are_written_once(spark, monkeypatch):
+    """Lines that came once and share no key with another are written as they are signed, and dealt and written no more."""
+    pick = random.Random(43)
+    rows = [(i, "\n".join("".join(pick.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(100)) for _ in range(10)) + ("\nthe same line in two texts" if i < 2 else "")) for i in range(60)]
+    written, plain = {}, linededup.materialize
+
+    def counted(df, label, *rest):
+        out = plain(df, label, *rest)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", counted)
+    got = {r["doc_id"]: r["lines_dropped"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i == 1) for i in range(60)}
+    assert written.pop("lines-signed") == 602
+    assert sum(written.values()) < 20
+
+
+def test_lines_of_repeated_rows_without_text(spark):
+    """A row without a text beside one of the same doc_id that loses a line stays as it is."""
+    rows = [(1, "a line that is here twice"), (2, "a line that is here twice\nand one that is not"), (2, None), (2, "")]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"], r["text"] or "", r["text"] is None, r["lines_dropped"]) for r in out)
+    assert [x[:3] for x in got] == [(1, rows[0][1], False), (2, "", False), (2, "", True), (2, "and one that is not", False)]
+    assert [x[3] for x in got if x[2]] == [0]
