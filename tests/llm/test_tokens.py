@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tickloom.llm import bpesql, packing, tokenbin, tokencount
+from tickloom.llm import bpesql, chunks, packing, tokenbin, tokencount
 from tickloom.llm.chunks import LATIN_WORD, Ids
 from tickloom.llm.tokencount import Merger
 
@@ -134,3 +134,20 @@ def test_files(spark, odd, empty, tmp_path):
     assert tokenbin.token_files(empty, WORDS).collect() == []
     files = sorted(p.name.split(".")[-1] for p in (tmp_path / "t").iterdir() if not p.name.startswith("."))
     assert set(files) == {"bin", "off", "doc"}
+
+
+def test_cache_looks_at_the_wanted_chunks_alone():
+    """A lookup costs what it looks up, however much the cache holds; chunks that were met move up, and the rest is made."""
+
+    class Held(dict):
+        def keys(self):
+            raise AssertionError("goes through all that it holds")
+
+        __iter__ = keys
+
+    made = []
+    cache = chunks.ChunkCache(lambda own: made.extend(own) or [x.upper() for x in own])
+    cache.young, cache.old = Held(a="A", b="B"), {"c": "C", "d": "D"}
+    found = cache.lookup([["a", "c"], ["e", "a"]])
+    assert [found[x] for x in "ace"] == ["A", "C", "E"]
+    assert made == ["e"] and "c" in cache.young and "d" not in cache.young

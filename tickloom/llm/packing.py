@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.chunks import ids_of
+from tickloom.llm.chunks import HALF_CHARS, ids_of
 from tickloom.llm.shared import bounded_batches, materialize, texts_of
 
 END_ID = 1
@@ -43,8 +43,10 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = END_ID, id_
     if with_ids:
         names, kinds = [*names, "ids"], [*kinds, pa.list_(pa.int64())]
 
+    half = HALF_CHARS if with_ids else 2 * HALF_CHARS  # rows with their ids take the memory that a larger cache would
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, task, ranks = ids_of(path), TaskContext.get().partitionId(), {}
+        ids, task, ranks = ids_of(path, half=half), TaskContext.get().partitionId(), {}
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
