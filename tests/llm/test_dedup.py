@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tickloom.llm import exactdedup, hashing, linededup, oddsketch
+from tickloom.llm import exactdedup, hashing, linededup, linking, oddsketch
 from tickloom.llm.linking import BLOCK_ROWS, _packer, _shared, combined, dealt, finer, unresolved
 from tickloom.llm.unionfind import components
 
@@ -395,3 +395,44 @@ def test_lines_of_repeated_rows_without_text(spark):
     got = sorted((r["doc_id"], r["text"] or "", r["text"] is None, r["lines_dropped"]) for r in out)
     assert [x[:3] for x in got] == [(1, rows[0][1], False), (2, "", False), (2, "", True), (2, "and one that is not", False)]
     assert [x[3] for x in got if x[2]] == [0]
+
+
+def test_signatures_lose_no_link():
+    """The filter before any text moves passes every linked pair, and few of those that are far apart."""
+    pick, lines = random.Random(47), linededup.Lines()
+    texts = []
+    for _ in range(400):
+        a = [pick.choice("abcdefghij ") for _ in range(pick.randrange(6, 300))]
+        b = list(a)
+        for _ in range(pick.choice((0, 1, 2, 3, max(4, len(a) // 10)))):
+            b[pick.randrange(len(b))] = pick.choice("0123456789")
+        texts += ["".join(a), "".join(b)]
+    raw = [t.encode() for t in texts]
+    sets = linededup.line_sets(lines)(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    rows = [pa.Table.from_batches(linededup._Signer(lines).run(iter([pa.RecordBatch.from_pydict({"doc_id": [0], "text": [t]})]))).to_pylist()[0] for t in texts]
+    words = np.array([(r["s0"], r["s1"]) for r in rows], np.int64).view(np.uint64)
+    passed = linededup.unlike(words[::2], words[1::2]) <= lines.most_unlike()
+    linked = np.array([lines.linked(a, b) for a, b in zip(sets[::2], sets[1::2], strict=True)])
+    far = linededup.unlike(words[:-2:2], words[2::2]) <= lines.most_unlike()
+    assert linked.sum() > 50 and (passed | ~linked).all()
+    assert far.mean() < 0.02
+
+
+def test_lines_that_meet_by_chance_move_no_text(spark, monkeypatch):
+    """Unlike lines that share a band's key, as in a large table most do, are told apart before their texts are fetched."""
+    pick = random.Random(53)
+    letters = lambda n: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    common = letters(38)
+    rows = [(i, "\n".join(common + letters(82) for _ in range(10))) for i in range(200)]
+    rows.append((200, rows[0][1].split("\n")[0][:-1] + "!"))
+    written, plain = {}, linking.materialize
+
+    def counted(df, label, *rest):
+        out = plain(df, label, *rest)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(linking, "materialize", counted)
+    got = {r["doc_id"]: r["lines_dropped"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i == 200) for i in range(201)}
+    assert written["lines-members"] > 100 and written["lines-texts"] < 60
