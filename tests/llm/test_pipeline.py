@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, each against what it should do."""
 
+from pathlib import Path
+
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +69,22 @@ def test_stages_on_odd_rows(spark, sf, request, rows):
         before = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert (rows == "empty") == (before == 0) and len({r["sequence_id"] for r in packed}) == len(packed)
+
+
+def test_line_dedup_deletes_band_keys_before_texts_move(spark, sf, monkeypatch):
+    """Band keys are most of what the stage writes; they are gone when its lines are linked."""
+    apart, there, beside, link = [], [], linededup.beside, linededup.link
+
+    def noted(df):
+        apart.append(beside(df))
+        return apart[-1]
+
+    def linked(*args):
+        there.extend(Path(x._tickloom_path.removeprefix("file://")).exists() for x in apart)
+        return link(*args)
+
+    monkeypatch.setattr(linededup, "beside", noted)
+    monkeypatch.setattr(linededup, "link", linked)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.line_dedup(spark, docs, sf).count() > 0
+    assert there == [False]
